@@ -41,19 +41,26 @@ def strip_boilerplate(nodes: DataFrame, selectors=None) -> DataFrame:
     Two ordered window passes (body bounds, then a running max of the
     flagged subtree ends); no join.  Keeps column ``in_body``.
     """
+    return mark_boilerplate(nodes, selectors).filter(~F.col("removed")).drop("removed")
+
+
+def mark_boilerplate(nodes: DataFrame, selectors=None) -> DataFrame:
+    """Like ``strip_boilerplate`` but keeps every row with a ``removed`` flag."""
     sels = selectors if selectors is not None else P.STRIP_SELECTORS
     df = with_body_bounds(nodes)
     df = with_match(df, sels, "_strip")
-    df = df.withColumn("_rm", inside_flag(F.col("_strip") & F.col("in_body"), strict=False))
-    return df.filter(~F.col("_rm")).drop("_strip", "_rm")
+    return df.withColumn("removed", inside_flag(F.col("_strip") & F.col("in_body"), strict=False)).drop("_strip")
 
 
 # ---------------------------------------------------------------------------
 # EXT-7 / SRT-2 main content
 # ---------------------------------------------------------------------------
-def main_content(nodes: DataFrame) -> DataFrame:
+def main_content(nodes: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """(page_id, main_id, main_end, main_source) for each page.
 
+    ``nodes`` is the stripped node table; ``marked`` (from
+    ``mark_boilerplate``) is used for the subtree sizes when given.
+
     First match of the prioritized selectors; else the div/section/article
     with most descendant elements (text >= 100 chars, no nav/footer/sidebar
     in id or class; first on ties); else the body.
@@ -65,13 +72,14 @@ def main_content(nodes: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("_mp", "node_id", "end_id")).alias("m"))
         .select("page_id", F.col("m.node_id").alias("sel_id"), F.col("m.end_id").alias("sel_end"))
     )
-    counted = with_running_counts(nodes)
+    counted = with_running_counts(marked, ~F.col("removed")) if marked is not None else with_running_counts(nodes)
     low_id = F.lower(F.coalesce(F.col("elem_id"), F.lit("")))
     low_cls = F.lower(F.coalesce(F.col("class_raw"), F.lit("")))
     bad = F.lit(False)
     for w in ("nav", "footer", "sidebar"):
         bad = bad | low_id.contains(w) | low_cls.contains(w)
-    cand = counted.filter(F.col("tag").isin("div", "section", "article") & F.col("in_body") & ~bad)
+    alive = ~F.col("removed") if marked is not None else F.lit(True)
+    cand = counted.filter(F.col("tag").isin("div", "section", "article") & F.col("in_body") & ~bad & alive)
     stats = subtree_stats(cand, counted).filter((F.col("text_len") >= 100) & (F.col("n_desc") > 0))
     best = (
         stats.groupBy("page_id")
@@ -443,8 +451,9 @@ def parse_details(nodes: DataFrame, pages: DataFrame, profile: P.SiteProfile = P
     """
     spark = nodes.sparkSession
     keep = cut_lineage if materialize else (lambda d: d)
-    stripped = keep(strip_boilerplate(nodes))
-    main = keep(main_content(stripped))
+    marked = keep(mark_boilerplate(nodes))
+    stripped = marked.filter(~F.col("removed")).drop("removed")
+    main = keep(main_content(stripped, marked))
     cands = _pair_candidates(stripped, main, profile)
     cand_all = keep(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
                            [v.withColumn("kind_", F.lit(k)) for k, v in cands.items()]))

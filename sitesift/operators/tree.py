@@ -113,10 +113,16 @@ def next_element_sibling(nodes: DataFrame) -> DataFrame:
     return e.withColumn("_n", nxt).withColumn("next_id", F.col("_n.id")).withColumn("next_tag", F.col("_n.tag")).drop("_n")
 
 
-def with_running_counts(nodes: DataFrame) -> DataFrame:
-    """Running element count and text length (inclusive) in document order."""
-    return nodes.withColumn("elem_cum", F.count(F.when(is_element(), 1)).over(w_upto())).withColumn(
-        "text_cum", F.sum(F.when(is_text(), F.length("text")).otherwise(0)).over(w_upto())
+def with_running_counts(nodes: DataFrame, kept: Column | None = None) -> DataFrame:
+    """Running element count and text length (inclusive) in document order.
+
+    With ``kept``, only rows where it holds are counted but every row gets
+    its running values, so lookups at any ``end_id`` succeed even when the
+    node there was removed.
+    """
+    k = F.lit(True) if kept is None else kept
+    return nodes.withColumn("elem_cum", F.count(F.when(is_element() & k, 1)).over(w_upto())).withColumn(
+        "text_cum", F.sum(F.when(is_text() & k, F.length("text")).otherwise(0)).over(w_upto())
     )
 
 

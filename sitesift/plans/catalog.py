@@ -274,7 +274,8 @@ def q_attempt_timeouts(spark, sf):
 
 
 def _batch_items(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
-    h = _history(ev).distinct().withColumn("_h", F.lit(True))
+    h = ev.filter((F.dayofmonth("ts") <= 2) & (F.col("event_type") == "purchase")).select(
+        F.col("user_id").cast("string").alias("tender_id")).distinct().withColumn("_h", F.lit(True))
     it = ev.filter(F.dayofmonth("ts") > 15).withColumn("tender_id", F.col("user_id").cast("string"))
     it = it.join(h, "tender_id", "left")
     it = it.select(

@@ -9,7 +9,7 @@ from .. import profile as P
 from ..functions.text import js_trim
 from ..functions.naming import status_code
 from ..functions.urls import normalize_url, redirect_ok, url_parts, validate_detail_url
-from ..operators.detail import _title_roots, main_content, page_titles_from, parse_details, strip_boilerplate
+from ..operators.detail import _title_roots, main_content, mark_boilerplate, page_titles_from, parse_details
 from ..operators.listing import extract_listings
 from ..operators.tree import is_element, text_of, with_running_counts, subtree_stats
 from ..session import configure, cut_lineage
@@ -57,16 +57,17 @@ def page_summary(pages: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE) -
     the anchors with an href in the whole page.
     """
     configure(pages.sparkSession)
-    nodes = cut_lineage(explode_nodes(pages))
-    stripped = strip_boilerplate(nodes)
-    main = main_content(stripped)
+    nodes = explode_nodes(pages)
+    marked = cut_lineage(mark_boilerplate(nodes))
+    stripped = marked.filter(~F.col("removed"))
+    main = main_content(stripped, marked)
     h1, ttl = _title_roots(stripped, main)
     roots = h1.select("page_id", F.col("h1_id").alias("node_id")).unionByName(ttl.select("page_id", F.col("title_id").alias("node_id")))
     texts = text_of(roots, stripped, "node_id", "text")
     titles = page_titles_from(h1, ttl, texts, pages, profile)
-    links = nodes.filter((F.col("tag") == "a") & F.col("attrs").getItem("href").isNotNull()).groupBy("page_id").agg(
+    links = marked.filter((F.col("tag") == "a") & F.col("attrs").getItem("href").isNotNull()).groupBy("page_id").agg(
         F.count("*").alias("n_links"))
-    tags = nodes.filter(is_element()).select("page_id", F.col("node_id").alias("main_id"), F.col("tag").alias("main_tag"))
+    tags = marked.filter(is_element()).select("page_id", F.col("node_id").alias("main_id"), F.col("tag").alias("main_tag"))
     return (
         pages.select("page_id", normalize_url(F.col("url")).alias("canonical_url"))
         .join(titles, "page_id", "left")
@@ -93,10 +94,10 @@ def page_links(pages: DataFrame) -> DataFrame:
 def main_content_stats(pages: DataFrame) -> DataFrame:
     """EXT-7 + AGG-7: main container per page with its descendant and text size."""
     configure(pages.sparkSession)
-    nodes = cut_lineage(explode_nodes(pages))
-    stripped = strip_boilerplate(nodes)
-    main = main_content(stripped)
-    counted = with_running_counts(stripped)
+    marked = cut_lineage(mark_boilerplate(explode_nodes(pages)))
+    stripped = marked.filter(~F.col("removed"))
+    main = main_content(stripped, marked)
+    counted = with_running_counts(marked, ~F.col("removed"))
     cand = counted.join(main.select("page_id", F.col("main_id").alias("node_id"), "main_source"), ["page_id", "node_id"])
     st = subtree_stats(cand, counted)
     return st.select("page_id", F.col("tag").alias("main_tag"), "main_source", "n_desc")
@@ -107,7 +108,7 @@ def details_job(captures: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE,
     """EXT-17: gate-free detail extraction of captures (page_id, url, html)."""
     configure(captures.sparkSession)
     pages = captures.select("page_id", "url", *([listing_title] if listing_title else []))
-    nodes = cut_lineage(explode_nodes(captures.select("page_id", "html")))
+    nodes = explode_nodes(captures.select("page_id", "html"))
     return parse_details(nodes, pages, profile, listing_title)
 
 

@@ -180,7 +180,7 @@ def batch_items_sql() -> str:
       SELECT e.event_id, CAST(CAST(e.ts AS DATE) AS VARCHAR) AS batch_id, e.ts AS started_at,
              CASE WHEN h.tender_id IS NOT NULL THEN 'skipped' WHEN e.event_type = 'error' THEN 'failed' ELSE 'success' END AS outcome,
              CAST(floor(e.value) AS BIGINT) % 4 AS n_img, e.event_type
-      FROM events e LEFT JOIN ({HIST}) h ON CAST(e.user_id AS VARCHAR) = h.tender_id
+      FROM events e LEFT JOIN ({HIST.replace("day(ts) <= 15", "day(ts) <= 2")}) h ON CAST(e.user_id AS VARCHAR) = h.tender_id
       WHERE day(e.ts) > 15
     """
 
@@ -242,6 +242,12 @@ def _recovery_sql() -> str:
     """
 
 
+ART = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+ART_N = f"len(regexp_extract_all({ART}, '<[a-zA-Z]'))"
+ART_TEXT = f"length(replace(replace(regexp_replace({ART}, '<[^>]*>', '', 'g'), '&amp;', '&'), '&quot;', '\"'))"
+ART_OK = f"({ART_TEXT} >= 100 AND {ART_N} > 0)"
+
+
 def oracle_sql() -> dict[str, str]:
     title = _title_sql()
     detail_lines = f" || {CRLF} || ".join(
@@ -369,7 +375,8 @@ def oracle_sql() -> dict[str, str]:
     """
     return {
         "page_summary": f"""
-          SELECT page_id, {_canon_page('url')} AS canonical_url, {title} AS title, 'article' AS main_tag,
+          SELECT page_id, {_canon_page('url')} AS canonical_url, {title} AS title,
+                 CASE WHEN {ART_OK} THEN 'article' ELSE 'body' END AS main_tag,
                  CAST(len(regexp_extract_all(html, '<a\\s[^>]*href=')) AS BIGINT) AS n_links
           FROM pages""",
         "page_titles": f"SELECT page_id, {title} AS title FROM pages",
@@ -377,9 +384,10 @@ def oracle_sql() -> dict[str, str]:
           SELECT page_id, CAST(i AS INTEGER) AS link_no, {unescape('hrefs[i]')} AS href FROM (
             SELECT page_id, hrefs, unnest(generate_series(1, len(hrefs))) AS i FROM (
               SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS hrefs FROM pages) WHERE len(hrefs) > 0)""",
-        "main_content_stats": """
-          SELECT page_id, 'article' AS main_tag, 'largest' AS main_source,
-                 CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[a-zA-Z]')) AS INTEGER) AS n_desc
+        "main_content_stats": f"""
+          SELECT page_id, CASE WHEN {ART_OK} THEN 'article' ELSE 'body' END AS main_tag,
+                 CASE WHEN {ART_OK} THEN 'largest' ELSE 'body' END AS main_source,
+                 CAST(CASE WHEN {ART_OK} THEN {ART_N} ELSE {ART_N} + 2 END AS INTEGER) AS n_desc
           FROM pages""",
         "url_canonical": f"SELECT page_id, {_canon_page('url')} AS canonical_url FROM pages",
         "url_dedup": """
