@@ -199,27 +199,35 @@ def extract_listings(nodes: DataFrame, pages: DataFrame, profile: P.SiteProfile
     t1 = norm_ws("a_text")
     ra = ra.withColumn("title", F.when(t1 != "", t1).otherwise(norm_ws(F.coalesce("title_attr", F.lit("")))))
     ra = ra.withColumn("link", listing_link(F.col("href"), F.col("_purl"), profile))
-    cand = rows.join(ra, ["page_id", "r_id"]).filter(F.col("link.valid") & (F.col("title") != ""))
+    cand = keep(
+        rows.join(ra, ["page_id", "r_id"]).filter(F.col("link.valid") & (F.col("title") != ""))
+        .select("page_id", "r_id", "hidden", "title", F.col("link.url").alias("detail_url"), F.col("link.id").alias("tender_id"))
+    )
 
     # city / date: first selector whose first cell qualifies (WIN-4)
     def cells(prefix: str, n: int) -> DataFrame:
-        anyc = reduce(lambda a, b: a | b, [F.col(f"{prefix}_{i}") for i in range(1, n + 1)])
-        c = descendants(cand.select("page_id", "r_id"), el.filter(anyc).select("page_id", "node_id", "path", *[f"{prefix}_{i}" for i in range(1, n + 1)]), "r_id")
-        firsts = []
-        for i in range(1, n + 1):
-            firsts.append(c.filter(F.col(f"{prefix}_{i}")).groupBy("page_id", "r_id").agg(F.min("node_id").alias("node_id")).withColumn("rank", F.lit(i)))
-        f = reduce(DataFrame.unionByName, firsts)
-        return with_text(f).withColumn("v", norm_ws("text")).select("page_id", "r_id", "rank", "v")
+        flags = [F.col(f"{prefix}_{i}") for i in range(1, n + 1)]
+        c = descendants(cand.select("page_id", "r_id"),
+                        el.filter(reduce(lambda a, b: a | b, flags)).select("page_id", "node_id", "path", *[f"{prefix}_{i}" for i in range(1, n + 1)]),
+                        "r_id")
+        firsts = c.groupBy("page_id", "r_id").agg(
+            *[F.min(F.when(flags[i], F.col("node_id"))).alias(f"f{i + 1}") for i in range(n)]
+        )
+        firsts = firsts.select(
+            "page_id", "r_id",
+            F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.col(f"f{i}").alias("node_id")) for i in range(1, n + 1)])).alias("x"),
+        ).select("page_id", "r_id", "x.rank", "x.node_id").filter(F.col("node_id").isNotNull())
+        return with_text(firsts).withColumn("v", norm_ws("text")).select("page_id", "r_id", "rank", "v")
 
     city = cells("city", len(P.CITY_SELECTORS)).join(cand.select("page_id", "r_id", "title"), ["page_id", "r_id"])
     city = city.filter((F.col("v") != "") & (F.col("v") != F.col("title")))
     city = city.groupBy("page_id", "r_id").agg(F.min_by("v", "rank").alias("city"))
-    cand = cand.join(city, ["page_id", "r_id"], "left").withColumn("city", F.coalesce("city", F.lit(P.NOT_AVAILABLE)))
+    cand = keep(cand.join(city, ["page_id", "r_id"], "left").withColumn("city", F.coalesce("city", F.lit(P.NOT_AVAILABLE))))
     date = cells("date", len(P.DATE_SELECTORS)).join(cand.select("page_id", "r_id", "title", "city"), ["page_id", "r_id"])
     date = date.filter((F.col("v") != "") & (F.col("v") != F.col("city")) & (F.col("v") != F.col("title")))
     date = date.groupBy("page_id", "r_id").agg(F.min_by("v", "rank").alias("date"))
     cand = cand.join(date, ["page_id", "r_id"], "left").withColumn("date", F.coalesce("date", F.lit(P.NOT_AVAILABLE)))
-    cand = keep(cand.select("page_id", "r_id", "hidden", "title", "city", "date", F.col("link.url").alias("detail_url"), F.col("link.id").alias("tender_id")))
+    cand = cand.select("page_id", "r_id", "hidden", "title", "city", "date", "detail_url", "tender_id")
 
     # --- WIN-1 / WIN-2 dedup and numbering -----------------------------------
     wurl = Window.partitionBy("page_id", "detail_url")
@@ -272,7 +280,7 @@ def page_numbers(el: DataFrame, texts: DataFrame, pages: DataFrame, url_col: str
     ind_rank = F.lit(None).cast("int")
     for i in reversed(range(len(ind_cols))):
         ind_rank = F.when(F.col(ind_cols[i]), F.lit(i + 1)).otherwise(ind_rank)
-    pc = descendants(conts, inds, "c_id")
+    pc = descendants(conts.select("page_id", "c_id").distinct(), inds, "c_id").join(conts, ["page_id", "c_id"])
     pc = with_text(pc).withColumn("num", num_in("text"))
     # each indicator rank is tried separately: explode the ranks the node matches
     ranks = F.filter(
