@@ -77,4 +77,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     windows on the result need no new shuffle; survives executor loss.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first, so writing the checkpoint reads the cached blocks
+    # instead of running the plan a second time
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -1,6 +1,6 @@
 """SRC-3: page HTML -> node rows (the DOM as a relation).
 
-One Python step per page, run by ``mapInPandas`` on Arrow batches; every
+One Python step per page, run by ``mapInArrow`` on Arrow batches; every
 later DOM question is a DataFrame filter, join, window or aggregate over the
 rows produced here.
 
@@ -202,17 +202,37 @@ def parse_html(html: str) -> list[list]:
     return b.finish()
 
 
-def _explode_batches(batches: Iterator[pd.DataFrame], chunk: int = 20000) -> Iterator[pd.DataFrame]:
-    cols = {name: [] for name in NODE_SCHEMA.fieldNames()}
+def _arrow_schema():
+    import pyarrow as pa
+
+    return pa.schema(
+        [
+            ("page_id", pa.int64()), ("node_id", pa.int32()), ("end_id", pa.int32()), ("parent_id", pa.int32()),
+            ("depth", pa.int32()), ("child_index", pa.int32()), ("kind", pa.string()), ("tag", pa.string()),
+            ("elem_id", pa.string()), ("classes", pa.list_(pa.string())), ("class_raw", pa.string()),
+            ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("hidden", pa.bool_()),
+            ("path", pa.list_(pa.int32())),
+        ]
+    )
+
+
+def _explode_batches(batches, chunk: int = 50000):
+    """Arrow batches of (page_id, html) -> Arrow batches of node rows."""
+    import pyarrow as pa
+
+    schema = _arrow_schema()
+    rows_out: list[tuple] = []
 
     def flush():
-        out = pd.DataFrame(cols)
-        for v in cols.values():
-            v.clear()
-        return out
+        cols = list(zip(*rows_out))
+        arrays = [pa.array(c, type=f.type) for c, f in zip(cols, schema)]
+        rows_out.clear()
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    for pdf in batches:
-        for page_id, html in zip(pdf["page_id"].tolist(), pdf["html"].tolist()):
+    for rb in batches:
+        ids = rb.column(rb.schema.get_field_index("page_id")).to_pylist()
+        htmls = rb.column(rb.schema.get_field_index("html")).to_pylist()
+        for page_id, html in zip(ids, htmls):
             if not isinstance(html, str):
                 continue
             try:
@@ -220,25 +240,17 @@ def _explode_batches(batches: Iterator[pd.DataFrame], chunk: int = 20000) -> Ite
             except Exception:  # never fail the job on one page
                 continue
             for r in rows:
-                cols["page_id"].append(page_id)
-                cols["node_id"].append(r[0])
-                cols["end_id"].append(r[1])
-                cols["parent_id"].append(r[3])
-                cols["depth"].append(r[2])
-                cols["child_index"].append(r[4])
-                cols["kind"].append(r[5])
-                cols["tag"].append(r[6])
-                cols["elem_id"].append(r[7])
                 cls = r[8]
-                cols["classes"].append(cls.split() if cls is not None else None)
-                cols["class_raw"].append(cls)
-                cols["attrs"].append(r[9])
-                cols["text"].append(r[10])
-                cols["hidden"].append(r[11])
-                cols["path"].append(r[12])
-            if len(cols["page_id"]) >= chunk:
+                attrs = r[9]
+                rows_out.append((
+                    page_id, r[0], r[1], r[3], r[2], r[4], r[5], r[6], r[7],
+                    cls.split() if cls is not None else None, cls,
+                    list(attrs.items()) if attrs is not None else None,
+                    r[10], r[11], r[12],
+                ))
+            if len(rows_out) >= chunk:
                 yield flush()
-    if cols["page_id"]:
+    if rows_out:
         yield flush()
 
 
@@ -253,5 +265,5 @@ def explode_nodes(captures: DataFrame, num_partitions: int | None = None) -> Dat
     spark = captures.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("html"))
-    nodes = src.mapInPandas(_explode_batches, NODE_SCHEMA)
+    nodes = src.mapInArrow(_explode_batches, NODE_SCHEMA)
     return nodes.repartition(n, "page_id").sortWithinPartitions("page_id", "node_id")
