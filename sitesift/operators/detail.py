@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import profile as P
 from ..functions.text import js_trim, norm_cell, norm_label, strip_site_suffix, truncate_text
-from ..session import cut_lineage
+from ..session import materialize as _materialize
 from ..functions.urls import image_host_allowed, image_resolve, valid_image
 from .selectors import with_match, with_priority
 from .tree import (
@@ -450,7 +450,7 @@ def parse_details(nodes: DataFrame, pages: DataFrame, profile: P.SiteProfile = P
     replays the HTML parsing.
     """
     spark = nodes.sparkSession
-    keep = cut_lineage if materialize else (lambda d: d)
+    keep = _materialize if materialize else (lambda d: d)
     marked = keep(mark_boilerplate(nodes))
     stripped = marked.filter(~F.col("removed")).drop("removed")
     main = keep(main_content(stripped, marked))

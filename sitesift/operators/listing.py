@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import profile as P
 from ..functions.text import js_trim, norm_ws
 from ..functions.urls import listing_link, num_in, page_in_path, page_in_text, url_parts
-from ..session import cut_lineage
+from ..session import materialize as _materialize
 from .selectors import with_match
 from .tree import descendants, is_element, text_of
 
@@ -37,7 +37,7 @@ def extract_listings(nodes: DataFrame, pages: DataFrame, profile: P.SiteProfile
     rows: page_id, listing_position, original_listing_title, city, date_posted, detail_url, tender_id
     page_info: page_id, page_number, detection_source, tender_count, warnings
     """
-    keep = cut_lineage if materialize else (lambda d: d)
+    keep = _materialize if materialize else (lambda d: d)
     groups = {
         "sec": P.SECTION_SIBLING_SELECTORS,
         "row": P.ROW_SELECTORS,

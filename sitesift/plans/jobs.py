@@ -12,7 +12,7 @@ from ..functions.urls import normalize_url, redirect_ok, url_parts, validate_det
 from ..operators.detail import _title_roots, main_content, mark_boilerplate, page_titles_from, parse_details
 from ..operators.listing import extract_listings
 from ..operators.tree import is_element, text_of, with_running_counts, subtree_stats
-from ..session import configure, cut_lineage
+from ..session import configure, materialize
 from ..sources.html_nodes import explode_nodes
 
 
@@ -58,7 +58,7 @@ def page_summary(pages: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE) -
     """
     configure(pages.sparkSession)
     nodes = explode_nodes(pages)
-    marked = cut_lineage(mark_boilerplate(nodes))
+    marked = materialize(mark_boilerplate(nodes), "marked")
     stripped = marked.filter(~F.col("removed"))
     main = main_content(stripped, marked)
     h1, ttl = _title_roots(stripped, main)
@@ -94,7 +94,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 def main_content_stats(pages: DataFrame) -> DataFrame:
     """EXT-7 + AGG-7: main container per page with its descendant and text size."""
     configure(pages.sparkSession)
-    marked = cut_lineage(mark_boilerplate(explode_nodes(pages)))
+    marked = materialize(mark_boilerplate(explode_nodes(pages)), "marked")
     stripped = marked.filter(~F.col("removed"))
     main = main_content(stripped, marked)
     counted = with_running_counts(marked, ~F.col("removed"))
@@ -115,5 +115,5 @@ def details_job(captures: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE,
 def listings_job(captures: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE) -> tuple[DataFrame, DataFrame]:
     """EXT-5 on listing captures (page_id, url, html)."""
     configure(captures.sparkSession)
-    nodes = cut_lineage(explode_nodes(captures.select("page_id", "html")))
+    nodes = materialize(explode_nodes(captures.select("page_id", "html")), "nodes")
     return extract_listings(nodes, captures.select("page_id", "url"), profile)

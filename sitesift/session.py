@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,3 +84,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def _hashed_by(df: DataFrame, key: str, n: int) -> bool:
+    """Whether the planned output is already hash-partitioned by ``key`` into ``n`` parts."""
+    try:
+        p = df._jdf.queryExecution().executedPlan().outputPartitioning().toString()
+    except Exception:
+        return False
+    return p.startswith(f"hashpartitioning({key}#") and p.endswith(f", {n})") and "," not in p[len("hashpartitioning("):].split(")")[0].rsplit(",", 1)[0]
+
+
+def materialize(df: DataFrame, tag: str = "t", key: str = "page_id") -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key`` under the checkpoint folder and read it back.
+
+    Cuts the lineage like a checkpoint, survives executor loss, and unlike
+    a checkpoint the read-back keeps a ``key`` hash partitioning, so later
+    joins, windows and aggregates keyed by ``key`` (first) need no shuffle.
+    Rows are hash-partitioned by ``key`` first (unless they already are),
+    so every task writes one bucket file.  Without ``key`` it falls back to
+    a reliable checkpoint.
+    """
+    if key not in df.columns:
+        return cut_lineage(df)
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not _hashed_by(df, key, n):
+        df = df.repartition(n, key)
+    sort_cols = [key, "node_id"] if "node_id" in df.columns else None
+    name = f"sitesift_{tag}_{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+    w = df.write.bucketBy(n, key)
+    if sort_cols:
+        w = w.sortBy(*sort_cols)
+    w.option("path", path).mode("overwrite").saveAsTable(name)
+    return spark.table(name)

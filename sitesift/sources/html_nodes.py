@@ -265,5 +265,10 @@ def explode_nodes(captures: DataFrame, num_partitions: int | None = None) -> Dat
     spark = captures.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("html"))
+    # The parse is the only Python step: give it at least ``n`` tasks.  Large
+    # inputs already have far more file splits, so this only spreads small
+    # or single-file inputs (round-robin, no key).
+    if src.rdd.getNumPartitions() < n:
+        src = src.repartition(n)
     nodes = src.mapInArrow(_explode_batches, NODE_SCHEMA)
     return nodes.repartition(n, "page_id").sortWithinPartitions("page_id", "node_id")
