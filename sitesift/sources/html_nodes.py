@@ -72,7 +72,7 @@ class _TreeBuilder(HTMLParser):
         # stack of (tag, node_index)
         self.stack: list[tuple[str, int]] = []
         self.child_count: dict[int, int] = {}
-        self._new("element", "#document", {}, None)
+        self.stack.append(("#document", self._new("element", "#document", {}, None)))
 
     # -- node creation ---------------------------------------------------
     def _new(self, kind: str, tag: str | None, attrs: dict, text: str | None) -> int:

@@ -46,7 +46,7 @@ def test_truncate(spark):
 def test_safe_component(spark):
     cases = {
         "a/b\\c:d": "a-b-c-d",
-        "  name  ..  ": "name .",
+        "  name  ..  ": "name ",
         "con": "_con",
         "CON.txt": "_CON.txt",
         "...": "Unknown Tender",
