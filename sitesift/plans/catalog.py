@@ -372,6 +372,51 @@ def q_stream_progress(spark, sf):
     return stream_progress_from_events(spark, _t(spark, sf, "events"))
 
 
+def _raw_listing(spark, sf) -> DataFrame:
+    """Raw listing rows from orders, every 9th with an invalid link and every 13th without a title."""
+    f = synth.order_facts(spark, sf)
+    k = F.col("k")
+    return f.select(
+        (k / synth.LISTING_PAGE_SIZE).cast("long").alias("page_id"),
+        F.when(k % 13 == 0, F.lit(None).cast("string")).otherwise(F.col("title")).alias("original_listing_title"),
+        F.when(k % 9 == 0, F.format_string(f"https://{HOST}/item-%d.html", k))
+        .otherwise(F.format_string(f"https://{HOST}/item_tenders-%d.html", k)).alias("detail_url"),
+    )
+
+
+def q_normalization_report(spark, sf):
+    """AGG-5 + FLT-16 + AGG-4: per listing page counts and readiness."""
+    from ..operators.records import normalization_report, page_readiness
+
+    configure(spark)
+    rep = normalization_report(_raw_listing(spark, sf))
+    info = rep.withColumn("tender_count", F.col("valid_count")).withColumn(
+        "warnings", F.when(F.col("valid_count") == 0, F.array(F.lit(P.WARN_NO_ROWS))).otherwise(F.array().cast("array<string>")))
+    return page_readiness(info).select("page_id", "raw_count", "valid_count", "invalid_count", "has_fatal", "ready")
+
+
+def _resume_items(ev: DataFrame) -> DataFrame:
+    st = (
+        F.when(F.col("event_type") == "view", F.lit(P.STATUS_DOWNLOADED))
+        .when(F.col("event_type") == "error", F.lit(P.STATUS_PARSE_FAILED))
+        .when(F.col("event_type") == "purchase", F.lit(P.STATUS_PARSED))
+        .when(F.col("event_type") == "signup", F.lit(P.STATUS_DOWNLOAD_FAILED))
+        .otherwise(F.lit(P.STATUS_PENDING))
+    )
+    return ev.select("event_id", F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("batch_id"),
+                     F.col("event_id").alias("position"), st.alias("status"))
+
+
+def q_plan_resume(spark, sf):
+    """FLT-17: final items are passed over, parsed ones only need output."""
+    return B.plan_resume(_resume_items(_t(spark, sf, "events"))).select("event_id", "status", "action")
+
+
+def q_next_items(spark, sf):
+    """SRT-3: per batch, the 5 lowest positions still to do (a top-k report)."""
+    return B.next_items(_resume_items(_t(spark, sf, "events")), 5).select("batch_id", "position", "status")
+
+
 QUERIES = {
     "page_summary": q_page_summary,
     "page_titles": q_page_titles,
@@ -399,6 +444,9 @@ QUERIES = {
     "batch_progress": q_batch_progress,
     "batch_state_checks": q_batch_state_checks,
     "batch_state_recovery": q_batch_state_recovery,
+    "normalization_report": q_normalization_report,
+    "plan_resume": q_plan_resume,
+    "next_items": q_next_items,
     "stream_history": q_stream_history,
     "stream_progress": q_stream_progress,
 }

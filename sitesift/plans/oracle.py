@@ -248,6 +248,14 @@ ART_TEXT = f"length(replace(replace(regexp_replace({ART}, '<[^>]*>', '', 'g'), '
 ART_OK = f"({ART_TEXT} >= 100 AND {ART_N} > 0)"
 
 
+RESUME = """
+  SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS batch_id, event_id AS position,
+         CASE event_type WHEN 'view' THEN 'Downloaded' WHEN 'error' THEN 'Parse Failed'
+              WHEN 'purchase' THEN 'Parsed - Download Pending' WHEN 'signup' THEN 'Download Failed' ELSE 'Pending' END AS status
+  FROM events
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     title = _title_sql()
     detail_lines = f" || {CRLF} || ".join(
@@ -439,6 +447,19 @@ def oracle_sql() -> dict[str, str]:
         "batch_progress": progress,
         "batch_state_checks": _state_checks_sql(),
         "batch_state_recovery": _recovery_sql(),
+        "normalization_report": f"""
+          SELECT page_id, count(*) AS raw_count, count(*) FILTER (WHERE ok) AS valid_count,
+                 count(*) FILTER (WHERE NOT ok) AS invalid_count,
+                 count(*) FILTER (WHERE ok) = 0 AS has_fatal, count(*) FILTER (WHERE ok) > 0 AS ready
+          FROM (SELECT k // 30 AS page_id, (k % 13 <> 0 AND k % 9 <> 0 AND k >= 1) AS ok FROM ({FACTS}))
+          GROUP BY page_id""",
+        "plan_resume": f"""
+          SELECT event_id, status, CASE WHEN status IN ('Parse Failed', 'Downloaded', 'Download Failed') THEN 'skip'
+                 WHEN status = 'Parsed - Download Pending' THEN 'output' ELSE 'process' END AS action FROM ({RESUME})""",
+        "next_items": f"""
+          SELECT batch_id, position, status FROM (
+            SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY position) AS rn FROM ({RESUME})
+            WHERE status NOT IN ('Parse Failed', 'Downloaded', 'Download Failed')) WHERE rn <= 5""",
         "stream_history": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS tender_id FROM events WHERE event_type = 'purchase'",
         "stream_progress": """
           SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS batch_id, count(*) AS n_events,
