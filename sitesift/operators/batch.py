@@ -33,11 +33,22 @@ def split_by_history(items: DataFrame, history: DataFrame) -> tuple[DataFrame, D
 
 def mark_in_batch_repeats(items: DataFrame, batch_col: str = "batch_id", pos_col: str = "position",
                           ok_col: str = "success") -> DataFrame:
-    """WIN-7: a later occurrence of an id in the same batch is skipped when an earlier one succeeded."""
-    w = Window.partitionBy(batch_col, "tender_id").orderBy(pos_col).rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.max(F.col(ok_col).cast("int")).over(w)
-    return items.withColumn(
-        "repeat_skipped", F.col("tender_id").isNotNull() & F.coalesce(prior == 1, F.lit(False))
+    """WIN-7: a later occurrence of an id in the same batch is skipped when an earlier one succeeded.
+
+    Written as "position after the first successful position of the same
+    id": a partial aggregate (``min``) per (batch, id) and a join back, so
+    an id repeated millions of times is combined map-side instead of being
+    sorted in one task.
+    """
+    first_ok = (
+        items.filter(F.col(ok_col) & F.col("tender_id").isNotNull())
+        .groupBy(batch_col, "tender_id")
+        .agg(F.min(pos_col).alias("_first_ok"))
+    )
+    return (
+        items.join(first_ok, [batch_col, "tender_id"], "left")
+        .withColumn("repeat_skipped", F.coalesce(F.col(pos_col) > F.col("_first_ok"), F.lit(False)))
+        .drop("_first_ok")
     )
 
 

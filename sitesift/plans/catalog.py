@@ -55,23 +55,22 @@ def q_url_canonical(spark, sf):
 
 
 def q_url_dedup(spark, sf):
-    """SC-10 + WIN-1/WIN-2: one row per URL key, numbered per host by first occurrence."""
+    """SC-10 + WIN-1/WIN-2: one row per URL key, numbered per host by first occurrence.
+
+    Copies are combined by a partial aggregate per key; the per-host
+    numbering is range-partitioned, so neither a hot URL nor a hot host is
+    handled by a single task.
+    """
+    from ..operators.numbering import number_within
+
     p = _t(spark, sf, "pages")
     c = p.select(
         "page_id",
         url_parts(F.col("url"))["host"].alias("host"),
         F.regexp_replace(normalize_url(F.col("url")), "[?#].*$", "").alias("url_key"),
     )
-    w = Window.partitionBy("host", "url_key")
-    d = (
-        c.withColumn("first_page_id", F.min("page_id").over(w))
-        .withColumn("n_copies", F.count("*").over(w))
-        .filter(F.col("page_id") == F.col("first_page_id"))
-    )
-    return d.select(
-        "host", "url_key", "first_page_id", "n_copies",
-        F.row_number().over(Window.partitionBy("host").orderBy("first_page_id")).alias("position"),
-    )
+    d = c.groupBy("host", "url_key").agg(F.min("page_id").alias("first_page_id"), F.count("*").alias("n_copies"))
+    return number_within(d, "host", "first_page_id").select("host", "url_key", "first_page_id", "n_copies", "position")
 
 
 def _gate_input(spark, sf):

@@ -97,3 +97,17 @@ def test_records_merge_documents(spark):
     new = spark.createDataFrame([("10", "b1", T0 + dt.timedelta(days=1)), ("11", "b1", T0), (None, "b1", T0)],
                                 "tender_id string, first_batch_id string, processed_at timestamp")
     assert sorted((r["tender_id"], r["first_batch_id"]) for r in append_history(h, new).collect()) == [("10", "b0"), ("11", "b1")]
+
+
+def test_number_within_hot_group(spark):
+    from pyspark.sql import Window
+
+    from sitesift.operators.numbering import number_within
+
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 7).cast("string")).alias("g"),
+        ((F.col("id") * 7919) % 100003).alias("o"),
+    )
+    got = number_within(df, "g", "o").select("g", "o", "position")
+    want = df.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy("o")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
