@@ -117,3 +117,8 @@ def listings_job(captures: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE
     configure(captures.sparkSession)
     nodes = materialize(explode_nodes(captures.select("page_id", "html")), "nodes")
     return extract_listings(nodes, captures.select("page_id", "url"), profile)
+
+
+def process_batch(df: DataFrame, fn) -> DataFrame:
+    """UDF-1: apply a user-supplied DataFrame -> DataFrame step (same in ``foreachBatch``)."""
+    return df.transform(fn)
