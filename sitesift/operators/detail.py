@@ -125,7 +125,7 @@ def _pair_candidates(nodes: DataFrame, main: DataFrame, profile: P.SiteProfile)
     el_main = in_main(el, main)
     out: dict[str, DataFrame] = {}
 
-    # 1. tables: (table, row) in document order, first two cells of each row
+    # 1. EXT-8 tables: (table, row) in document order, first two cells of each row
     tables = el_main.filter(F.col("tag") == "table").select("page_id", F.col("node_id").alias("table_id"))
     rows = descendants(tables, el.filter(F.col("tag") == "tr"), "table_id").select(
         "page_id", "table_id", F.col("node_id").alias("row_id")
@@ -156,7 +156,7 @@ def _pair_candidates(nodes: DataFrame, main: DataFrame, profile: P.SiteProfile)
         F.col("c2.tag").alias("tag2"),
     )
 
-    # 2. definition lists: dt whose next element sibling is a dd
+    # 2. EXT-9 definition lists: dt whose next element sibling is a dd
     dls = el_main.filter(F.col("tag") == "dl").select("page_id", F.col("node_id").alias("dl_id"))
     wsib = Window.partitionBy("page_id", "parent_id").orderBy("child_index")
     sib = el.withColumn("_nx", F.lead(F.struct(F.col("node_id").alias("id"), F.col("tag").alias("tag"))).over(wsib))
@@ -168,7 +168,7 @@ def _pair_candidates(nodes: DataFrame, main: DataFrame, profile: P.SiteProfile)
                 F.col("node_id").alias("label_id"), F.col("_nx.id").alias("value_id"))
     )
 
-    # 3. divs whose class contains row/field/item/detail: first two element children
+    # 3. EXT-10 divs whose class contains row/field/item/detail: first two element children
     cls = F.coalesce(F.col("attrs").getItem("class"), F.lit(""))
     is_pair_div = (F.col("tag") == "div") & reduce(
         lambda a, b: a | b, [cls.contains(w) for w in P.PAIR_DIV_CLASS_WORDS]
@@ -194,7 +194,7 @@ def _pair_candidates(nodes: DataFrame, main: DataFrame, profile: P.SiteProfile)
         F.col("k2.id").alias("value_id"), F.col("k2.cls").alias("cls2"),
     )
 
-    # 4. label spans and their next element sibling
+    # 4. EXT-11 label spans and their next element sibling
     spans = with_match(sib.join(main.select("page_id", "main_id", "main_end"), "page_id")
                        .filter((F.col("node_id") > F.col("main_id")) & (F.col("node_id") <= F.col("main_end"))),
                        P.LABEL_SPAN_SELECTORS, "_ls")
@@ -203,7 +203,7 @@ def _pair_candidates(nodes: DataFrame, main: DataFrame, profile: P.SiteProfile)
         F.col("node_id").alias("label_id"), F.col("_nx.id").alias("value_id"),
     )
 
-    # 5. detail rows of the first details block (document-wide)
+    # 5. EXT-12 detail rows of the first details block (document-wide)
     blk = _first_per_page(el.filter(F.coalesce(F.array_contains("classes", profile.details_block_class), F.lit(False))), "blk_id")
     drows = descendants(
         blk, el.filter(F.coalesce(F.array_contains("classes", profile.details_row_class), F.lit(False))), "blk_id"
@@ -499,3 +499,12 @@ def parse_details(nodes: DataFrame, pages: DataFrame, profile: P.SiteProfile = P
         F.coalesce(F.col("details_text"), F.lit("")).alias("details_text"),
         F.array().cast("array<string>").alias("warnings"),
     )
+
+
+def collect_warnings(warnings: DataFrame, key: str = "page_id") -> DataFrame:
+    """AGG-10: distinct warnings per key in first-seen order (``warnings``: key, ord, warning)."""
+    return warnings.groupBy(key).agg(
+        F.array_distinct(
+            F.transform(F.array_sort(F.collect_list(F.struct("ord", "warning"))), lambda x: x["warning"])
+        ).alias("warnings")
+    )

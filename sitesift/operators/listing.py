@@ -200,11 +200,12 @@ def extract_listings(nodes: DataFrame, pages: DataFrame, profile: P.SiteProfile
     ra = ra.withColumn("title", F.when(t1 != "", t1).otherwise(norm_ws(F.coalesce("title_attr", F.lit("")))))
     ra = ra.withColumn("link", listing_link(F.col("href"), F.col("_purl"), profile))
     cand = keep(
+        # FLT-7: valid canonical URL and a non-blank title
         rows.join(ra, ["page_id", "r_id"]).filter(F.col("link.valid") & (F.col("title") != ""))
         .select("page_id", "r_id", "hidden", "title", F.col("link.url").alias("detail_url"), F.col("link.id").alias("tender_id"))
     )
 
-    # city / date: first selector whose first cell qualifies (WIN-4)
+    # EXT-4 city / date: first selector whose first cell qualifies (WIN-4)
     def cells(prefix: str, n: int) -> DataFrame:
         flags = [F.col(f"{prefix}_{i}") for i in range(1, n + 1)]
         c = descendants(cand.select("page_id", "r_id"),

@@ -89,6 +89,7 @@ class _TreeBuilder(HTMLParser):
         if kind == "element" and parent is not None:
             child_index = self.child_count.get(parent, 0) + 1
             self.child_count[parent] = child_index
+        # FLT-11: hidden attribute or inline display:none / visibility:hidden, inherited
         hidden = phidden
         if kind == "element" and not hidden:
             if "hidden" in attrs or _HIDDEN_STYLE.search(attrs.get("style", "") or ""):

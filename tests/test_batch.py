@@ -111,3 +111,20 @@ def test_number_within_hot_group(spark):
     got = number_within(df, "g", "o").select("g", "o", "position")
     want = df.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy("o")))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_listing_level_checks(spark):
+    from sitesift.operators.detail import collect_warnings
+    from sitesift.operators.records import drop_stale, listing_counts, page_readiness
+
+    insp = spark.createDataFrame(
+        [(1, "u1", "u1", None, 3, []), (2, "u2", "other", None, 5, []),
+         (3, "u3", "u3", None, 0, ["The tender listing section could not be found. x"])],
+        "page_id int, page_url string, inspected_url string, reason string, tender_count int, warnings array<string>")
+    r = {x["page_id"]: x.asDict() for x in page_readiness(drop_stale(insp)).collect()}
+    assert r[1]["ready"] and not r[2]["ready"] and r[2]["tender_count"] == 0 and "page changed" in r[2]["reason"]
+    assert r[3]["has_fatal"] and not r[3]["ready"]
+    w = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, "a")], "page_id int, ord int, warning string")
+    assert collect_warnings(w).first()["warnings"] == ["a", "b"]
+    recs = spark.createDataFrame([(1,), (1,), (2,)], "page_id int")
+    assert sorted((x["page_id"], x["tender_count"]) for x in listing_counts(recs).collect()) == [(1, 2), (2, 1)]
