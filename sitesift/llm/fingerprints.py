@@ -34,14 +34,16 @@ def lanes(text: Column) -> Column:
     least = once(sorted_hashes, lambda s: F.filter(s, lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(s, i - 1)))))
 
     def dense(kept):
-        filled = F.transform(kept, bin_of)
+        # the lender of bin b: the filled bin whose hash with b is smallest; its low byte rides along
+        def lent(b):
+            tag = lambda h: F.xxhash64(b, bin_of(h)).bitwiseAND(F.lit(-256)).bitwiseOR(h.bitwiseAND(F.lit(255)))
+            return F.array_min(F.transform(kept, tag))
 
-        def value(b):
-            own = F.array_position(filled, b)
-            lent = F.array_min(F.transform(kept, lambda h: F.struct(F.xxhash64(b, bin_of(h)).alias("o"), h.alias("h"))))["h"]
-            return F.when(own > 0, F.get(kept, (own - 1).cast("int"))).otherwise(lent).bitwiseAND(F.lit(255))
+        def fill(filled):
+            own = lambda b: F.get(kept, (F.array_position(filled, b) - 1).cast("int"))
+            return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(own(b), lent(b)).bitwiseAND(F.lit(255)))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), value)
+        return once(F.transform(kept, bin_of), fill)
 
     def packed(values):
         def lane(k):
