@@ -17,7 +17,7 @@ OTHER_SPACE = re.compile(
 )
 # A word with the one space before it, or white space as the byte-level pattern cuts it.
 SPACED = re.compile(rb" ?\S+|\s+(?!\S)|\s+")
-MEMO_ROWS = 300_000
+MEMO_ROWS = 900_000
 _loaded: dict[str, object] = {}
 
 
@@ -55,11 +55,12 @@ def memo(*key) -> Memo:
 
 def fill(known: Memo, rows: list[list[bytes]], make) -> dict[bytes, object]:
     """``known`` with every chunk of ``rows``; ``make(chunks)`` gives the values of those it lacks."""
-    missing = list({c for row in rows for c in row if c not in known})
+    here = set().union(*rows)
+    missing = list(here.difference(known))
     if missing:
         known.room(len(missing))
         if not known:
-            missing = list({c for row in rows for c in row})
+            missing = list(here)
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
             known.update(zip(part, make(part), strict=True))
