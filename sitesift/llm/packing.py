@@ -92,10 +92,10 @@ def column_generation(demand: np.ndarray, room: int, rounds: int = 2000) -> tupl
         prices = np.zeros(len(demand))
         prices[have] = np.maximum(inverse.sum(axis=0), 0)  # each sequence costs one
         value, pattern = best_pattern(prices, room)
-        if value <= 1 + 1e-7:
+        if value <= 1 + 5e-4:  # the optimum is at least the present number of sequences over this value
             break
-        column = inverse @ pattern[have]
-        level = inverse @ need
+        column = np.einsum("ij,j->i", inverse, pattern[have].astype(float))
+        level = np.einsum("ij,j->i", inverse, need)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(column > 1e-9, level / column, np.inf)
         out = int(np.argmin(ratio))

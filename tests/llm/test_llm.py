@@ -164,7 +164,7 @@ def test_packing(spark, docs):
 
 def test_column_generation_is_near_the_bound():
     r = np.random.default_rng(0)
-    demand = np.bincount(r.integers(1, 129, 20_000), minlength=257)[1:]
+    demand = np.bincount(r.integers(1, 97, 20_000), minlength=257)[1:]
     patterns = packing.whole_patterns(demand, 256)
     assert (sum(p * n for p, n in patterns) == demand).all()
     assert all((p * np.arange(1, 257)).sum() <= 256 for p, _ in patterns)
