@@ -16,6 +16,7 @@ from ..profile import DESCRIPTION_MAX_CHARS, TRUNCATION_NOTE, UNKNOWN_TITLE
 # Characters a JavaScript-style trim removes (Java's \s is ASCII only).
 _WS = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 _TRIM = f"^[{_WS}]+|[{_WS}]+$"
+VISIBLE = f"[^{_WS}]"  # a character that such a trim keeps
 
 
 def _c(c) -> Column:

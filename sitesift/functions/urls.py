@@ -60,7 +60,7 @@ def remove_dot_segments(path: Column) -> Column:
 
     def build(segs: Column) -> Column:
         kept = F.aggregate(
-            F.slice(segs, 2, 1_000_000),
+            F.slice(segs, F.lit(2), F.size(segs)),
             F.array(F.lit("")),
             lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
             .when(s == ".", acc)
@@ -230,7 +230,7 @@ def classify_listing_url(c, profile: SiteProfile = DEFAULT_PROFILE) -> Column:
     def fin(p: Column) -> Column:
         parsed = F.coalesce(p.isNotNull() & p["scheme"].isin("http", "https") & (p["host"] != ""), F.lit(False))
         num = F.regexp_extract(p["path"], profile.listing_path_regex, 1)
-        n = F.when(F.length(num).between(1, 9), num.cast("int"))
+        n = num.try_cast("bigint")
         supported = F.coalesce(parsed & (p["host"] == profile.main_host) & p["path"].rlike(profile.listing_path_regex), F.lit(False))
         reason = F.when(~parsed, F.lit("The current browser tab cannot be inspected.")).when(
             ~supported, F.lit("Please open a tender listing page of the site.")
@@ -310,19 +310,19 @@ def image_ext(c) -> Column:
 def num_in(c) -> Column:
     """SC-13: first integer in the text, 1..100000, else null."""
     d = F.regexp_extract(js_trim(_c(c)), r"(\d+)", 1)
-    n = F.when(F.length(d).between(1, 6), d.cast("int"))
+    n = d.try_cast("bigint")
     return F.when(n.between(1, 100000), n)
 
 
 def page_in_text(c) -> Column:
     """SC-13: number after 'Page'/'page', 1..100000, else null."""
     d = F.regexp_extract(_c(c), r"[Pp]age\s*(\d+)", 1)
-    n = F.when(F.length(d).between(1, 6), d.cast("int"))
+    n = d.try_cast("bigint")
     return F.when(n.between(1, 100000), n)
 
 
 def page_in_path(c) -> Column:
     """SC-13: N from a '/tenders-N/' path, else null."""
     d = F.regexp_extract(_c(c), r"^/tenders-(\d+)/?$", 1)
-    n = F.when(F.length(d).between(1, 9), d.cast("int"))
+    n = d.try_cast("bigint")
     return F.when(n >= 1, n)

@@ -272,28 +272,28 @@ def recover_batch_states(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     overridden by a valid ``totalTenders``; an index past the item count
     becomes 0.  Never fails on bad input.
     """
-    v = F.try_parse_json(F.col(raw_col))
+    df, v = df.withColumn("_json", F.try_parse_json(F.col(raw_col))), F.col("_json")  # parsed once
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
     def trunc_nonneg(path: str) -> Column:
         n = _num(v, path)
-        return F.when(is_obj & (n >= 0), n.cast("long")).otherwise(F.lit(0)).cast("long")
+        return F.when(is_obj & (n >= 0), n.try_cast("bigint")).otherwise(F.lit(0)).cast("long")
 
     tenders_n = F.when(
         is_obj & F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.tenders", "variant")).startswith("ARRAY"), F.lit(False)),
         F.size(F.try_variant_get(v, "$.tenders", "array<variant>")),
     )
     total_raw = _num(v, "$.totalTenders")
-    total = F.when(is_obj & (total_raw >= 0), total_raw.cast("long")).otherwise(F.coalesce(tenders_n, F.lit(0))).cast("long")
+    total = F.when(is_obj & (total_raw >= 0), total_raw.try_cast("bigint")).otherwise(F.coalesce(tenders_n, F.lit(0))).cast("long")
     idx = trunc_nonneg("$.currentTenderIndex")
     page = _num(v, "$.pageNumber")
     status = _str(v, "$.batchStatus")
     mr = _num(v, "$.retryConfig.maxRetries")
     bd = _num(v, "$.retryConfig.baseDelayMs")
     return df.select(
-        "*",
+        *[c for c in df.columns if c != "_json"],
         F.when(is_obj, _str(v, "$.batchId")).alias("batch_id"),
-        F.when(is_obj & (page > 0), page.cast("long")).alias("page_number"),
+        F.when(is_obj & (page > 0), page.try_cast("bigint")).alias("page_number"),
         F.when(is_obj, _str(v, "$.pageUrl")).alias("page_url"),
         F.when(F.coalesce(idx > F.coalesce(tenders_n, F.lit(0)), F.lit(False)), F.lit(0)).otherwise(idx).cast("long").alias("current_index"),
         total.alias("total_tenders"),
@@ -302,6 +302,6 @@ def recover_batch_states(df: DataFrame, raw_col: str = "raw") -> DataFrame:
         trunc_nonneg("$.failedCount").alias("failed_count"),
         trunc_nonneg("$.skippedCount").alias("skipped_count"),
         F.when(is_obj & status.isin(*P.BATCH_STATUSES), status).otherwise(F.lit("Idle")).alias("batch_status"),
-        F.when(is_obj & (mr >= 1), mr.cast("long")).otherwise(F.lit(P.RETRY_MAX_DEFAULT)).cast("long").alias("max_retries"),
-        F.when(is_obj & (bd >= 0), bd.cast("long")).otherwise(F.lit(P.RETRY_BASE_DELAY_MS)).cast("long").alias("base_delay_ms"),
+        F.when(is_obj & (mr >= 1), mr.try_cast("bigint")).otherwise(F.lit(P.RETRY_MAX_DEFAULT)).cast("long").alias("max_retries"),
+        F.when(is_obj & (bd >= 0), bd.try_cast("bigint")).otherwise(F.lit(P.RETRY_BASE_DELAY_MS)).cast("long").alias("base_delay_ms"),
     )

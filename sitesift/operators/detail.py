@@ -293,14 +293,18 @@ def extract_metadata(pairs: DataFrame, aliases: DataFrame, mode: str = "contains
     """EXT-13 / WIN-3 / AGG-9: first matching value per key, one column per key (NULL = none).
 
     Order: strategy (table, dl, div, span, detail rows), then document
-    order; a literal 'Not available' from strategies 1-4 yields to detail rows.
+    order.  The first value of strategies 1-4 counts, even 'Not available'; detail rows (strategy 5) fill in
+    where there is none or that one.
     """
     keys = keys or P.METADATA_KEYS
     m = match_labels(pairs, aliases, mode)
-    rank = F.when((F.col("strategy") < 5) & (F.col("value") == NA), F.lit(6)).otherwise(F.col("strategy"))
-    m = m.withColumn("ord", F.struct(rank.alias("r"), "o1", "o2"))
-    aggs = [F.min_by(F.col("value"), F.when(F.col("key") == k, F.col("ord"))).alias(k) for k in keys]
-    return m.groupBy("page_id").agg(*aggs)
+    m = m.withColumn("ord", F.struct("strategy", "o1", "o2"))
+    first = lambda k, own: F.min_by(F.col("value"), F.when((F.col("key") == k) & own, F.col("ord")))
+    early, late = F.col("strategy") < 5, F.col("strategy") >= 5
+    aggs = [f for k in keys for f in (first(k, early).alias(f"_{k}"), first(k, late).alias(f"_{k}_late"))]
+    open_ = lambda k: F.coalesce(F.col(f"_{k}") == NA, F.lit(True))
+    chosen = [F.when(open_(k), F.coalesce(f"_{k}_late", f"_{k}")).otherwise(F.col(f"_{k}")).alias(k) for k in keys]
+    return m.groupBy("page_id").agg(*aggs).select("page_id", *chosen)
 
 
 # ---------------------------------------------------------------------------

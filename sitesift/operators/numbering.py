@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def number_within(df: DataFrame, group: str, order: str, out: str = "position") -> DataFrame:
     """Add ``out`` = 1-based rank of ``order`` inside ``group`` (ties broken by ``order`` only, values unique)."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, group, order).withColumn("_slice", F.spark_partition_id())
+    # range bounds come from a sample; both sides below must see the same ones, so the slices are fixed first
+    r = cut_lineage(df.repartitionByRange(n, group, order).withColumn("_slice", F.spark_partition_id()))
     local = r.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_slice", group).orderBy(order))
     )

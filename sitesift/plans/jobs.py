@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import profile as P
-from ..functions.text import js_trim
+from ..functions.text import VISIBLE
 from ..functions.naming import status_code
 from ..functions.urls import normalize_url, redirect_ok, url_parts, validate_detail_url
 from ..operators.detail import _title_roots, main_content, mark_boilerplate, page_titles_from, parse_details
@@ -24,16 +26,13 @@ def gate_captures(captures: DataFrame, expected_id_col: str = "expected_id",
     Python step.  The message table has a fixed size (12 codes): broadcast.
     """
     html = F.col("html")
-    low = F.lower(F.substring(html, 1, 2000))
-    blocked = F.lit(False)
-    for ph in P.BLOCK_PHRASES:
-        blocked = blocked | low.contains(ph)
+    blocked = F.lower(F.substring(html, 1, 2000)).rlike("|".join(re.escape(ph) for ph in P.BLOCK_PHRASES))
     ctype = F.lower(F.coalesce(F.col("content_type"), F.lit("")))
     html_type = ctype.startswith(P.HTML_CONTENT_TYPES[0]) | ctype.startswith(P.HTML_CONTENT_TYPES[1])
     st = F.col("status")
     code = (
-        F.when(~st.between(200, 299), status_code(st))
-        .when(html.isNull() | (js_trim(html) == ""), F.lit("EMPTY_HTML"))
+        F.when(~F.coalesce(st.between(200, 299), F.lit(False)), status_code(st))
+        .when(html.isNull() | ~html.rlike(VISIBLE), F.lit("EMPTY_HTML"))
         .when(~redirect_ok(F.col("final_url"), F.col(expected_id_col), profile), F.lit("UNEXPECTED_REDIRECT"))
         .when(~html_type, F.lit("UNEXPECTED_CONTENT_TYPE"))
         .when(blocked, F.lit("ACCESS_RESTRICTED"))

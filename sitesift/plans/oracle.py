@@ -449,9 +449,9 @@ def oracle_sql() -> dict[str, str]:
         "batch_state_recovery": _recovery_sql(),
         "normalization_report": f"""
           SELECT page_id, count(*) AS raw_count, count(*) FILTER (WHERE ok) AS valid_count,
-                 count(*) FILTER (WHERE NOT ok) AS invalid_count,
+                 count(*) FILTER (WHERE NOT ok AND k % 13 <> 0) AS invalid_count,
                  count(*) FILTER (WHERE ok) = 0 AS has_fatal, count(*) FILTER (WHERE ok) > 0 AS ready
-          FROM (SELECT k // 30 AS page_id, (k % 13 <> 0 AND k % 9 <> 0 AND k >= 1) AS ok FROM ({FACTS}))
+          FROM (SELECT k, k // 30 AS page_id, (k % 13 <> 0 AND k % 9 <> 0 AND k >= 1) AS ok FROM ({FACTS}))
           GROUP BY page_id""",
         "plan_resume": f"""
           SELECT event_id, status, CASE WHEN status IN ('Parse Failed', 'Downloaded', 'Download Failed') THEN 'skip'

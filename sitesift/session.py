@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,6 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -24,10 +22,8 @@ RECOMMENDED_CONF = {
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings above to an existing session."""
     for k, v in RECOMMENDED_CONF.items():
-        try:
+        if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
-        except Exception:  # static or locked conf: keep the user's value
-            pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -42,6 +38,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+        .config("spark.sql.session.timeZone", "UTC")
     )
     for k, v in RECOMMENDED_CONF.items():
         b = b.config(k, v)
@@ -54,8 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; it is read
-    from the session.  Only in local mode, where it is unset (tests, bench),
-    a scratch folder is chosen.
+    from the session.  Where it is unset (tests, bench) a folder in the warehouse, which is shared too, is used.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -65,9 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sitesift-ckpt-"))
+    sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return sc.getCheckpointDir()
 
 
