@@ -56,7 +56,8 @@ def anchor_runs(docs: DataFrame, size: int) -> DataFrame:
 
 
 def recurring(texts: DataFrame, ranges: DataFrame, size: int) -> DataFrame:
-    """(doc_id, anchor, at) of the reference windows: of each that is in several documents, its place in the smallest.
+    """(doc_id, at, run) of the reference windows: of each that is in several documents, its place in the smallest
+    and which of the document's runs that is in.
 
     ``ranges`` (doc_id, runs) lists what is left after step 2.  Windows are summed up by hash before they are
     shuffled; a hash only chooses the reference, equality is decided on words.
@@ -70,15 +71,15 @@ def recurring(texts: DataFrame, ranges: DataFrame, size: int) -> DataFrame:
                 for key, a, z, runs in zip(b.column("doc_id").to_pylist(), words.first[:-1], words.first[1:], b.column("runs").to_pylist(), strict=True):
                     windows = run_hashes(words.hashes[a:z], size).view(np.int64)
                     at = np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in runs])
-                    anchor = np.repeat([r["anchor"] for r in runs], [r["n"] for r in runs])
+                    run_no = np.repeat(np.arange(len(runs)), [r["n"] for r in runs])
                     fits = at < len(windows)  # rows that share a doc_id may differ
-                    out.append((np.full(fits.sum(), key), anchor[fits], at[fits], windows[at[fits]]))
+                    out.append((np.full(fits.sum(), key), at[fits], run_no[fits], windows[at[fits]]))
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "anchor", "at", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "at", "run", "window"])
 
-    rows = texts.join(ranges, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, anchor long, at int, window long")
-    first = rows.groupBy("window").agg(F.min(F.struct("doc_id", "at", "anchor")).alias("f"), F.max("doc_id").alias("last"))
-    return first.filter("f.doc_id < last").select("f.doc_id", "f.anchor", "f.at")
+    rows = texts.join(ranges, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, at int, run int, window long")
+    first = rows.groupBy("window").agg(F.min(F.struct("doc_id", "at", "run")).alias("f"), F.max("doc_id").alias("last"))
+    return first.filter("f.doc_id < last").select("f.doc_id", "f.at", "f.run")
 
 
 def stretches(texts: DataFrame, cuts: DataFrame, size: int) -> DataFrame:
@@ -203,15 +204,16 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
     shared = stage(shared.select("anchor", "rows"), "shared")
     left = runs.join(shared.select("anchor"), "anchor")
     ranges = stage(left.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "at", "n")).alias("runs")), "ranges")
-    reference = stage(recurring(docs, ranges, size), "reference")
+    reference = recurring(docs, ranges, size).groupBy("doc_id").agg(F.collect_set(F.struct("at", "run")).alias("w")).join(ranges, "doc_id")
+    # windows in a row with one anchor are one passage
+    windows = F.array_sort(F.transform("w", lambda x: F.struct(F.get("runs", x["run"])["anchor"].alias("anchor"), x["at"].alias("at"))))
+    passages = reference.select("doc_id", windows.alias("w")).select("doc_id", F.explode(grouped_runs(F.col("w"))).alias("r"))
+    passages = stage(passages.select("doc_id", F.lit(False).alias("asks"), "r.*"), "passages")
     # how many shards an anchor's reference fills, and how many copies of each its documents need
-    shape = reference.groupBy("anchor").agg(F.count("*").alias("windows")).join(shared, "anchor").select(
+    shape = passages.groupBy("anchor").agg(F.sum("n").alias("windows")).join(shared, "anchor").select(
         "anchor", F.ceil(F.col("windows") / SHARD_WINDOWS).cast("int").alias("parts"), F.ceil(F.col("rows") / STREAM_ROWS).cast("int").alias("salts")
     )
     shape = stage(shape, "shape")
-    # windows in a row are one passage: at minus its rank is the same for them
-    passages = reference.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("anchor", "at"))).alias("w"))
-    passages = passages.select("doc_id", F.explode(grouped_runs(F.col("w"))).alias("r")).select("doc_id", F.lit(False).alias("asks"), "r.*")
     asked = ranges.select("doc_id", F.explode("runs").alias("r")).select("doc_id", F.lit(True).alias("asks"), "r.*").join(shape.select("anchor"), "anchor", "left_semi")
     cuts = passages.unionByName(asked).groupBy("doc_id").agg(F.collect_list(F.struct("asks", "anchor", "at", "n")).alias("runs"))
     mine = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
