@@ -226,14 +226,14 @@ def _history(ev: DataFrame) -> DataFrame:
 
 def q_history_skip(spark, sf):
     ev = _t(spark, sf, "events")
-    items = ev.filter(F.dayofmonth("ts") > 15).select("event_id", F.col("user_id").cast("string").alias("tender_id"))
+    items = ev.select("event_id", F.col("user_id").cast("string").alias("tender_id"))
     todo, skipped = B.split_by_history(items, _history(ev))
     return todo.withColumn("action", F.lit("todo")).unionByName(skipped.drop("status").withColumn("action", F.lit("skip")))
 
 
 def q_in_batch_repeats(spark, sf):
     ev = _t(spark, sf, "events")
-    items = ev.filter(F.dayofmonth("ts") > 15).select(
+    items = ev.select(
         "event_id", F.to_date("ts").alias("batch_id"), F.col("event_id").alias("position"),
         F.col("user_id").cast("string").alias("tender_id"), (F.col("event_type") != "error").alias("success"),
     )
@@ -242,8 +242,8 @@ def q_in_batch_repeats(spark, sf):
 
 def q_page_done(spark, sf):
     ev = _t(spark, sf, "events")
-    recs = ev.filter((F.dayofmonth("ts") > 15) & (F.hour("ts") < 2)).select(
-        F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("page_id"), F.col("user_id").cast("string").alias("tender_id"))
+    recs = ev.select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm").alias("page_id"), F.col("user_id").cast("string").alias("tender_id"))
     return B.page_done(recs, _history(ev))
 
 
@@ -275,7 +275,7 @@ def q_attempt_timeouts(spark, sf):
 def _batch_items(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
     h = ev.filter((F.dayofmonth("ts") <= 2) & (F.col("event_type") == "purchase")).select(
         F.col("user_id").cast("string").alias("tender_id")).distinct().withColumn("_h", F.lit(True))
-    it = ev.filter(F.dayofmonth("ts") > 15).withColumn("tender_id", F.col("user_id").cast("string"))
+    it = ev.withColumn("tender_id", F.col("user_id").cast("string"))
     it = it.join(h, "tender_id", "left")
     it = it.select(
         "event_id", F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("batch_id"), F.col("ts").alias("started_at"),
@@ -301,7 +301,7 @@ def q_image_outcomes(spark, sf):
 
 def q_batch_progress(spark, sf):
     ev = _t(spark, sf, "events")
-    it = ev.filter(F.dayofmonth("ts") > 15).select(
+    it = ev.select(
         F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("batch_id"), (F.hour("ts") < 12).alias("processed"))
     return B.batch_progress(it)
 

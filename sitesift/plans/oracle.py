@@ -181,7 +181,6 @@ def batch_items_sql() -> str:
              CASE WHEN h.tender_id IS NOT NULL THEN 'skipped' WHEN e.event_type = 'error' THEN 'failed' ELSE 'success' END AS outcome,
              CAST(floor(e.value) AS BIGINT) % 4 AS n_img, e.event_type
       FROM events e LEFT JOIN ({HIST.replace("day(ts) <= 15", "day(ts) <= 2")}) h ON CAST(e.user_id AS VARCHAR) = h.tender_id
-      WHERE day(e.ts) > 15
     """
 
 
@@ -379,7 +378,7 @@ def oracle_sql() -> dict[str, str]:
              CAST(CASE WHEN total > 0 THEN round(processed / total * 100) ELSE 0 END AS INTEGER) AS percent
       FROM (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS batch_id, count(*) AS total,
                    count(*) FILTER (WHERE hour(ts) < 12) AS processed
-            FROM events WHERE day(ts) > 15 GROUP BY 1)
+            FROM events GROUP BY 1)
     """
     return {
         "page_summary": f"""
@@ -427,18 +426,17 @@ def oracle_sql() -> dict[str, str]:
         "folder_names": folder_names_sql(),
         "history_skip": f"""
           SELECT i.event_id, i.tender_id, CASE WHEN h.tender_id IS NULL THEN 'todo' ELSE 'skip' END AS action
-          FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS tender_id FROM events WHERE day(ts) > 15) i
+          FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS tender_id FROM events) i
           LEFT JOIN ({HIST}) h ON i.tender_id = h.tender_id""",
         "in_batch_repeats": """
           SELECT event_id, coalesce(bool_or(event_type <> 'error') OVER (
                    PARTITION BY CAST(ts AS DATE), user_id ORDER BY event_id
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS repeat_skipped
-          FROM events WHERE day(ts) > 15""",
+          FROM events""",
         "page_done": f"""
           SELECT r.page_id, count(r.tender_id) AS n_valid,
                  count(r.tender_id) > 0 AND coalesce(bool_and(h.tender_id IS NOT NULL), false) AS done
-          FROM (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS page_id, CAST(user_id AS VARCHAR) AS tender_id
-                FROM events WHERE day(ts) > 15 AND hour(ts) < 2) r
+          FROM (SELECT strftime(ts, '%Y-%m-%d %H:%M') AS page_id, CAST(user_id AS VARCHAR) AS tender_id FROM events) r
           LEFT JOIN ({HIST}) h ON r.tender_id = h.tender_id GROUP BY r.page_id""",
         "attempt_outcomes": attempt_outcomes,
         "attempt_timeouts": timeouts,
