@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, slices, smallest_label, stage, text_only, unequal_bytes
@@ -77,17 +77,21 @@ def table_rows(reps: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(entries: DataFrame, reps: DataFrame) -> DataFrame:
-    """Distinct (a, b) with a the pivot of b in some entry and signatures that agree, each with both set sizes.
+    """Distinct (a, b) with a a pivot of b in some entry and signatures that agree, each with both set sizes.
 
-    Linear in the entries: each round tries every member with one pivot.  Only members unlike their pivot go
-    into the next round.
+    The first round tries every member of an entry with its smallest one.  Members unlike it go on to a round
+    among themselves, with eight pivots, then 32 and so on, so that few rounds clear an entry; only members
+    unlike each other ever meet more than a few pivots.
     """
     sign = reps.select("doc_id", "n", "lanes")
     left, found, turn = entries, None, 0
     while True:
-        low = left.groupBy("entry").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").select("entry", "a")
-        tried = left.join(low, "entry").filter("doc > a").select("entry", "a", F.col("doc").alias("b"))
-        tried = stage(tried, f"tried-{turn}")
+        if turn:
+            order = Window.partitionBy("entry").orderBy("doc")
+            low = left.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * 4**turn).select("entry", F.col("doc").alias("a"))
+        else:
+            low = left.groupBy("entry").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").select("entry", "a")
+        tried = stage(left.join(low, "entry").filter("doc > a").select("entry", "a", F.col("doc").alias("b")), f"tried-{turn}")
         pairs = tried.select("a", "b").distinct()
         pairs = pairs.join(sign.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("lanes").alias("l_a")), "a")
         pairs = pairs.join(sign.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("lanes").alias("l_b")), "b")
@@ -95,8 +99,10 @@ def pivot_pairs(entries: DataFrame, reps: DataFrame) -> DataFrame:
         pairs = stage(pairs.select("a", "b", "n_a", "n_b", (like >= CLOSE).alias("close")), f"pairs-{turn}")
         good = pairs.filter("close").drop("close")
         found = good if found is None else found.unionByName(good)
-        left = tried.join(pairs.filter("not close").select("a", "b"), ["a", "b"]).select(F.col("b").alias("doc"), "entry")
-        left, turn = stage(left.distinct(), f"left-{turn}"), turn + 1
+        alone = tried.join(pairs.select("a", "b", "close"), ["a", "b"]).groupBy("entry", "b").agg(F.max("close").alias("close")).filter("not close")
+        pivots = tried.select("entry", F.col("a").alias("b")).distinct()
+        left = stage(alone.join(pivots, ["entry", "b"], "left_anti").select("entry", F.col("b").alias("doc")), f"left-{turn}")
+        turn += 1
         if not left.limit(1).count():
             return found.distinct()
 
