@@ -190,11 +190,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text") -> D
     of_doc = stage(signed.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
     reps = stage(known.join(of_doc.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"), "reps")
     near = stage(pivot_pairs(stage(table_rows(reps), "entries"), reps), "near")
-    links = stage(confirm(near, texts, percent), "links")
+    nodes = stage(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "nodes")
+    # the text is shuffled once, to pick the documents that are in a pair; all later steps read those only
+    some = stage(texts.join(nodes, F.col("doc_id") == F.col("node"), "left_semi"), "texts")
+    links = stage(confirm(near, some, percent), "links")
     labels = smallest_label(links)
-    nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     comp = stage(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "components")
-    more = stage(settle(near, comp, texts, percent), "settled")
+    more = stage(settle(near, comp, some, percent), "settled")
     labels = smallest_label(links.unionByName(more), "final")
     out = of_doc.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("label", "rep", "doc_id")
