@@ -21,7 +21,6 @@ from .common import hash_sample, text_only
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # a match of AKIA[A-Z0-9]+ with 16 characters or more
 HEX = r"[0-9a-f]{32,}"  # a match of [0-9a-f]+ with 32 characters or more
-VALUE = r"[A-Za-z0-9+/_.=-]+$"
 KINDS = ["assign", "access", "hex", "random"]
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
@@ -62,7 +61,7 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.col("text")
     return text_only(docs, text=text).select(
         "doc_id", "text",
-        spans(t, ASSIGN, lambda v: F.length(F.regexp_extract(v, VALUE, 0)) >= 8).alias("assign"),
+        spans(t, ASSIGN, lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 8).alias("assign"),
         spans(t, ACCESS).alias("access"),
         spans(t, HEX).alias("hex"),
     )
@@ -100,7 +99,7 @@ def train(docs: DataFrame, text: str = "text", random_rows: int = 20_000, word_r
     """
     total = docs.count()
     rows = base_spans(hash_sample(docs, "doc_id", random_rows, total), text)
-    values = F.concat(F.transform("assign", lambda s: F.regexp_extract(s["value"], VALUE, 0)), F.transform("access", lambda s: s["value"]), F.transform("hex", lambda s: s["value"]))
+    values = F.concat(F.transform("assign", lambda s: F.regexp_extract(s["value"], ASSIGN, 2)), F.transform("access", lambda s: s["value"]), F.transform("hex", lambda s: s["value"]))
     random = counts_of(rows.select(F.explode(values).alias("value")))
     some = text_only(hash_sample(docs, "doc_id", word_rows, total), text=text)
     words = F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]+(?:[_-][A-Za-z]+)*\b"), F.lit(0))
