@@ -97,7 +97,7 @@ def write_archives(pages: DataFrame, where: str, dictionary: bytes, payload: str
         def close():
             nonlocal done, buffer, count, held
             name = f"part-{ctx.partitionId():05d}-{ctx.taskAttemptId()}-{done:04d}.warc.zst"
-            with out.open_output_stream(f"{folder}/{name}") as f:
+            with out.open_output_stream(f"{folder}/{name}", compression=None) as f:
                 f.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
                 f.write(b"".join(buffer))
             row = pa.RecordBatch.from_pydict({"file": [f"{where}/{name}"], "records": [count], "bytes": [held]})
@@ -141,7 +141,7 @@ def read_archives(files: DataFrame) -> DataFrame:
         for b in batches:
             for name in b.column("file").to_pylist():
                 source, path = fs.FileSystem.from_uri(name)
-                with source.open_input_stream(path) as f:
+                with source.open_input_stream(path, compression=None) as f:
                     data = f.read()  # at most about file_bytes
                 dictionary, each = frames(data)
                 unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
