@@ -99,7 +99,7 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def nearest(
-    rows: DataFrame, queries, k: int = 20, trees: int = 24, leaf_rows: int = 512, sample_rows: int = 16_000, first: float = 0.06, share: float = 0.65,
+    rows: DataFrame, queries, k: int = 20, trees: int = 24, leaf_rows: int = 512, sample_rows: int = 16_000, first: float = 0.06, share: float = 1.0,
     key: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product found for each row that
@@ -125,7 +125,7 @@ def nearest(
     x = np.array([r["v"] for r in hash_sample(groups.select("gid", "v"), "gid", sample_rows, n).collect()])
     if not len(x):
         x = np.array([r["v"] for r in groups.select("v").limit(sample_rows).collect()])
-    forest = spark.sparkContext.broadcast(Forest(x, trees, max(8, leaf_rows * len(x) // n)))  # bounded by the sample
+    forest = spark.sparkContext.broadcast(Forest(x, trees, max(4, min(leaf_rows, n // 128) * len(x) // n)))  # bounded by the sample
 
     def route(batches):
         for b in batches:
