@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from .common import as_bytes, slices, text_only
 from .tokens import encode_all, fill, memo
 
+MEMO = 300_000  # chunks and, besides, pre-tokens that a worker remembers
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -57,7 +58,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, special: tuple[str, .
     proved = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(path))
 
     def counts(chunks: list[bytes]) -> list[int]:
-        cut, whole, rest, find = [], proved.value, memo("rest", path), regex.compile(pattern).findall
+        cut, whole, rest, find = [], proved.value, memo("rest", path, rows=MEMO), regex.compile(pattern).findall
         other = [i for i, c in enumerate(chunks) if not latin(c) or any(s in c for s in marks)]
         beyond = set(other)
         for i, c in enumerate(chunks):
@@ -78,7 +79,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, special: tuple[str, .
         for b in slices(batches, "text"):
             texts = as_bytes(b.column("text"))
             rows = [t.split() for t in texts]
-            known = fill(memo("count", path), rows, counts)
+            known = fill(memo("count", path, rows=MEMO), rows, counts)
             n = [sum(map(known.__getitem__, row)) for row in rows]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])],

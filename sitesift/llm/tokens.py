@@ -35,10 +35,14 @@ def load(path: str):
 
 
 class Memo(dict):
-    """chunk -> value; emptied when it holds MEMO_ROWS chunks, so a worker's memory stays bounded."""
+    """chunk -> value; emptied when it holds ``rows`` chunks, so a worker's memory stays bounded."""
+
+    def __init__(self, rows: int):
+        super().__init__()
+        self.rows = rows
 
     def room(self, n: int) -> None:
-        if len(self) + n > MEMO_ROWS:
+        if len(self) + n > self.rows:
             self.clear()
 
 
@@ -49,8 +53,10 @@ def encode_all(path: str, texts: list[str]) -> list[list[int]]:
 _memos: dict[tuple, Memo] = {}
 
 
-def memo(*key) -> Memo:
-    return _memos.setdefault(key, Memo())
+def memo(*key, rows: int = MEMO_ROWS) -> Memo:
+    if key not in _memos:
+        _memos[key] = Memo(rows)
+    return _memos[key]
 
 
 def fill(known: Memo, rows: list[list[bytes]], make) -> dict[bytes, object]:
