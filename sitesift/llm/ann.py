@@ -173,7 +173,9 @@ def nearest(
     index = groups.select("gid", "v").mapInArrow(route, "tree int, leaf int, gid long, v binary")
     index = stage(index, "index")
     # a query vector is searched once, for all rows that hold it
-    asking = groups.filter(F.exists("ids", queries)).select("gid", "v")
+    # (asked of all its ids: those kept for answers need not hold a query)
+    asked = stage(points.filter(queries(F.col("vec_id"))).join(groups.select("v", "gid"), "v").select(F.col("vec_id").alias("query_id"), F.col("gid").alias("qid")), "asked")
+    asking = groups.join(asked.select(F.col("qid").alias("gid")).distinct(), "gid", "left_semi").select("gid", "v")
     probes = stage(asking.mapInArrow(probe, "tree int, leaf int, qid long, v binary, draught int"), "probes")
 
     def meet(asked: DataFrame) -> DataFrame:
@@ -192,7 +194,6 @@ def nearest(
     answers = both.join(ids, "gid").select("qid", "score", F.explode("ids").alias("vec_id"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     answers = answers.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
-    asked = points.filter(queries(F.col("vec_id"))).join(groups.select("v", F.col("gid").alias("qid")), "v").select(F.col("vec_id").alias("query_id"), "qid")
     others = F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k)
     listed = asked.join(answers, "qid").select("query_id", F.posexplode(others).alias("at", "f"))
     return listed.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "f.vec_id", "f.score")

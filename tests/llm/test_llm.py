@@ -241,6 +241,20 @@ def test_nearest(spark):
     assert ann.nearest(df.filter("false"), lambda c: c == 0).count() == 0
 
 
+def test_nearest_answers_queries_beyond_the_kept_copies(spark):
+    x = np.random.default_rng(6).normal(size=(40, 8)).round(3)
+    copies = [i for i in range(1, 106) if i % 20 or i > 39]  # their first 21 ids are no query; 40, 60, 80 and 100 are
+    rows = [(i, x[0].tolist()) for i in copies] + [(1000 + i, v.tolist()) for i, v in enumerate(x[1:], 1) if i % 20]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 20 == 0, share=2.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {40, 60, 80, 100}
+    every = {i: np.array(v) for i, v in rows}
+    for q, answer in got.items():
+        s = {i: (v * every[q]).sum() for i, v in every.items() if i != q}
+        assert [v for _, v, _ in sorted(answer)] == sorted(s, key=lambda i: (-s[i], i))[:20]
+
+
 def test_nearest_recall_on_the_table(spark):
     df = common.table(spark, "/root/testdata/sf0.1", "embeddings")
     x = np.array([r.embedding for r in df.orderBy("vec_id").collect()], float)
