@@ -3,8 +3,8 @@
 The trees are fitted on a bounded sample on the driver: a node splits its sample at the median of a random
 projection.  Every row is then routed to its leaf in each tree.  A query walks all trees through one priority
 queue, ordered by how far it lies on the wrong side of the splits on the way, until the leaves it took hold a
-given share of all rows.  Queries and rows meet by (tree, leaf); a leaf scores them as one matrix product and
-hands on the best only.
+given share of all rows and enough different ones for an answer, or all leaves of one tree.  Queries and rows meet
+by (tree, leaf); a leaf scores them as one matrix product and hands on the best only.
 
 The search runs in two draughts: the first leaves of each query give it a score that its k-th neighbour surely
 reaches; from the other leaves only rows reaching that score go on.  Equal vectors are searched as one; of
@@ -30,6 +30,13 @@ class Forest:
     def __init__(self, sample: np.ndarray, trees: int, leaf: int, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.trees = [self._tree(sample, leaf, rng) for _ in range(trees)]
+        self.leaves = [int((low < 0).sum()) for _, _, low, _, _ in self.trees]
+        # the sample's rows by leaf, routed as the table's rows are
+        self.rows = []
+        for leaves in self.route(sample).T:
+            order = np.argsort(leaves, kind="stable")
+            at, first = np.unique(leaves[order], return_index=True)
+            self.rows.append(dict(zip(at.tolist(), np.split(order, first[1:]), strict=True)))
 
     @staticmethod
     def _tree(x: np.ndarray, leaf: int, rng):
@@ -67,16 +74,22 @@ class Forest:
             out[:, t] = node
         return out
 
-    def search(self, q: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """(tree, leaf), nearest first, until the leaves hold ``share`` of the rows (counted once a tree)."""
-        queue, out, held = [(0.0, t, 0) for t in range(len(self.trees))], [], 0.0
-        side = [w @ q - at for w, at, *_ in self.trees]
-        while queue and held < share:
+    def search(self, q: np.ndarray, share: float, least: int) -> list[tuple[int, int]]:
+        """(tree, leaf), nearest first, until the leaves hold ``share`` of the rows (counted once a tree) and
+        ``least`` different ones of the sample, or until they are all leaves of one tree."""
+        queue, out, held, met = [(0.0, t, 0) for t in range(len(self.trees))], [], 0.0, set()
+        side, left = [w @ q - at for w, at, *_ in self.trees], list(self.leaves)
+        while held < share or len(met) < least:
             far, t, k = heapq.heappop(queue)
             _, _, low, high, rows = self.trees[t]
             if low[k] < 0:
                 out.append((t, k))
                 held += rows[k]
+                left[t] -= 1
+                if not left[t]:  # every row is in some leaf of this tree
+                    break
+                if len(met) < least:
+                    met.update(self.rows[t].get(k, np.zeros(0, int)).tolist())
                 continue
             d = side[t][k]
             heapq.heappush(queue, (far + min(d, 0.0) ** 2, t, int(high[k])))
@@ -105,8 +118,9 @@ def nearest(
     """query_id, rank, vec_id, score: the ``k`` rows of largest inner product found for each row that
     ``queries(vec_id column)`` names, the row itself left out.
 
-    ``share`` is the number of rows a query looks at over all trees, as a share of the table; ``first`` is the
-    once a tree); ``first`` is the part looked at in the first draught.  ``sample_rows`` bounds the fit.
+    ``share`` is the number of rows a query looks at over all trees, as a share of the table (a row counts
+    once a tree); ``first`` is the part looked at in the first draught.  ``sample_rows`` bounds the fit.  At least
+    k + 1 different vectors are looked at, and all of them if there are ``leaf_rows`` or fewer.
 
     Vectors that are null, zero, hold a null or a number that is not finite, or have another length than most take
     no part; nor do rows without an id.  Repeated rows count once.  Ties go to the smaller vec_id.  With fewer
@@ -125,7 +139,8 @@ def nearest(
     x = np.array([r["v"] for r in hash_sample(groups.select("gid", "v"), "gid", sample_rows, n).collect()])
     if not len(x):
         x = np.array([r["v"] for r in groups.select("v").limit(sample_rows).collect()])
-    forest = spark.sparkContext.broadcast(Forest(x, trees, max(4, min(leaf_rows, n // 128) * len(x) // n)))  # bounded by the sample
+    size = n if n <= leaf_rows else min(leaf_rows, n // 128)  # few vectors are one leaf, searched whole
+    forest = spark.sparkContext.broadcast(Forest(x, trees if n > leaf_rows else 1, max(4, size * len(x) // n)))  # bounded by the sample
 
     def route(batches):
         for b in batches:
@@ -143,7 +158,7 @@ def nearest(
         for b in batches:
             v = np.array(b.column("v").to_pylist())
             for row, q in zip(b.column("gid").to_pylist(), v, strict=True):
-                seen = forest.value.search(q, share)
+                seen = forest.value.search(q, share, keep)
                 held = np.cumsum([forest.value.trees[t][4][leaf] for t, leaf in seen])
                 draught = (held > first).astype(np.int32)
                 draught[: min(2, len(draught))] = 0

@@ -255,6 +255,30 @@ def test_nearest_answers_queries_beyond_the_kept_copies(spark):
         assert [v for _, v, _ in sorted(answer)] == sorted(s, key=lambda i: (-s[i], i))[:20]
 
 
+@pytest.mark.parametrize("n, copies", [(8, 1), (15, 1), (30, 1), (30, 25)])
+def test_nearest_of_few_vectors_is_whole(spark, n, copies):
+    x = np.repeat(np.random.default_rng(n).normal(size=(n, 64)).round(3), copies, axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, lambda c: c % copies == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(got) == set(range(0, len(x), copies))
+    for q, answer in got.items():
+        s = (x * x[q]).sum(axis=1)
+        assert [v for _, v in sorted(answer)] == [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]
+
+
+def test_forest_looks_at_enough_different_rows():
+    x = np.random.default_rng(8).normal(size=(600, 64))
+    forest = ann.Forest(x, 24, 4)
+    leaves = forest.route(x)
+    for q in x[:20]:
+        for share, least in ((0.0, 21), (0.05, 300), (0.0, 600), (30.0, 21)):
+            seen = forest.search(q, share, least)
+            assert len(set(seen)) == len(seen)
+            assert len(set().union(*(np.flatnonzero(leaves[:, t] == k).tolist() for t, k in seen))) >= min(least if share < 1 else 600, 600)
+
+
 def test_nearest_recall_on_the_table(spark):
     df = common.table(spark, "/root/testdata/sf0.1", "embeddings")
     x = np.array([r.embedding for r in df.orderBy("vec_id").collect()], float)
