@@ -18,6 +18,9 @@ from sitesift.llm.secret_scan import redact, scan, train
 from sitesift.llm.substring_dedup import dedup_substrings
 
 
+SIMILAR = 80  # percent of shared shingles from which documents are near duplicates (op3's report takes 85)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     scored = score_quality(docs, quality_labels(spark, sf_dir), fit_fold)
@@ -26,8 +29,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    """One document of each group of near duplicates (a similarity of 0.8 or more): the one with the smallest doc_id."""
+    gone = near_duplicates(docs, SIMILAR).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

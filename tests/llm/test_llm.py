@@ -365,6 +365,19 @@ def test_joins_agree_with_the_library():
             assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_pipeline_links_from_80_percent(spark):
+    import corpus_pipeline as p
+
+    rows = []
+    for i in range(40):  # pairs of 100 and 101 shingles, with 75 to 95 percent in common
+        w = words(104, 500 + i).split()
+        cut = 3 + i % 12
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-cut], *(f"z{i}_{j}" for j in range(cut + 1))]))]
+    kept = lambda percent: {d for d, (_, _, k) in brute.components(rows, percent).items() if k}
+    assert len(kept(80)) < len(kept(85)) < 80
+    assert {r.doc_id for r in p.keep_one_of_each(spark, frame(spark, rows), SF).collect()} == kept(80)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
