@@ -36,9 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_only(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Just the key and the text (null: empty), whatever else the input carries."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def text_only(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Just the key, the text (null: empty) and the columns of ``carry``, whatever else the input carries."""
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carry)
 
 
 def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:

@@ -66,15 +66,15 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, x: the statistics of each row's whole text."""
+def text_statistics(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, x: the statistics of each row's whole text; and the long columns of ``carry``."""
 
     def run(batches):
         for b in slices(batches, "text"):
             x = [statistics(t) for t in as_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.list_(pa.float64())), *map(b.column, carry)], names=["doc_id", "x", *carry])
 
-    return text_only(docs, text=text).mapInArrow(run, "doc_id long, x array<double>")
+    return text_only(docs, text=text, carry=carry).mapInArrow(run, ", ".join(["doc_id long, x array<double>", *(f"{c} long" for c in carry)]))
 
 
 class Features:
@@ -140,8 +140,8 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([[v] * n for v, _, n in blocks]) if blocks else np.zeros(0)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, fit_on, n_features: int = 192, width: float = 6.0, penalty: float = 1.0, bins: int = 2048, text: str = "text") -> DataFrame:
-    """doc_id, score, predicted for each row of ``docs``.
+def score_quality(docs: DataFrame, labels: DataFrame, fit_on, n_features: int = 192, width: float = 6.0, penalty: float = 1.0, bins: int = 2048, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score, predicted, and the long columns of ``carry`` as they are, for each row of ``docs``.
 
     ``labels`` has doc_id and y (0 to 1); ``fit_on(doc_id column)`` gives fold 0 or 1 for the rows to learn
     from and null for the others.  All labelled rows of the two folds are used; there is no sample.
@@ -150,14 +150,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_on, n_features: int =
     from; of several labels for one doc_id the mean counts; repeated rows are scored one by one; an empty table
     gives no row; without any label each score is 0.5.
     """
-    stats = stage(text_statistics(docs, text), "statistics")
+    stats = stage(text_statistics(docs, text, carry), "statistics")
     y = labels.filter("doc_id is not null and y is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("y").alias("y"))
     fit = stats.withColumn("fold", fit_on(F.col("doc_id"))).filter("fold is not null").join(y, "doc_id")
     fit = stage(fit.select("fold", "x", "y"), "learn-from")
     moments = fit.agg(*[f(F.col("x")[i]).alias(f"{k}{i}") for i in range(len(STATS)) for k, f in (("m", F.avg), ("s", F.stddev_pop))], F.count("*").alias("n")).first()
-    schema = "doc_id long, score double, predicted int"
+    schema = ", ".join(["doc_id long, score double, predicted int", *(f"{c} long" for c in carry)])
     if not moments["n"]:
-        return stats.select("doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+        return stats.select("doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"), *carry)
     features = Features(*(np.array([moments[f"{k}{i}"] for i in range(len(STATS))]) for k in "ms"), n_features, width)
     sums = normal_equations(fit, features)
     whole = ridge(sum(a for a, _ in sums.values()), sum(b for _, b in sums.values()), penalty)
@@ -185,6 +185,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_on, n_features: int =
         for b in batches:
             x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
             s = np.interp(features(x) @ whole, at, level)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype("int32"))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype("int32")), *map(b.column, carry)], names=["doc_id", "score", "predicted", *carry])
 
     return stats.mapInArrow(score, schema)

@@ -378,6 +378,31 @@ def test_pipeline_links_from_80_percent(spark):
     assert {r.doc_id for r in p.keep_one_of_each(spark, frame(spark, rows), SF).collect()} == kept(80)
 
 
+def test_pipeline_decides_row_by_row(spark):
+    import corpus_pipeline as p
+
+    def after(apply, rows):
+        return sorted(((r.doc_id, r.text) for r in apply(spark, frame(spark, rows), SF).collect()), key=str)
+
+    docs = dict(real(spark)[0])
+    bad = {r.doc_id: not r.predicted for r in queries.op5_quality(spark, SF).collect()}
+    poor, fine = (next(docs[d] for d in sorted(docs) if bad[d] == b) for b in (True, False))
+    odd = [(None, poor), (None, fine), (10**6, poor), (10**6, fine)]
+    want = [(d, t) for d, t in docs.items() if not bad[d]] + [(None, fine), (10**6, fine)]
+    assert after(p.keep_good, [*docs.items(), *odd]) == sorted(want, key=str)
+    a, b, c = words(40, 31), words(40, 32), words(40, 33)
+    rows = [(3, a), (3, a), (None, a), (None, b), (None, b), (2, None), (2, None), (5, b), (5, c)]
+    assert after(p.keep_one_of_each, rows) == sorted([(3, a), (2, None), (2, None), (5, b), (5, c)], key=str)
+    passage = words(80, 34)
+    rows = [(7, f"one {passage}"), (7, f"two {passage}"), (None, f"{passage} three"), (None, None), (8, "short")]
+    first, second = after(p.cut_repeats, rows), [(None, "three"), (None, None), (8, "short")]
+    assert first in [sorted([*second, *x], key=str) for x in ([(7, f"one {passage}"), (7, "two")], [(7, "one"), (7, f"two {passage}")])]
+    rows = [(7, "password=abcdefgh12 x"), (7, "plain"), (None, "token=abcdefgh1234 y"), (None, None), (None, "as it is")]
+    assert after(p.hide_secrets, rows) == sorted([(7, "[secret] x"), (7, "plain"), (None, "[secret] y"), (None, None), (None, "as it is")], key=str)
+    packed = p.pack_sequences(spark, frame(spark, [(7, "a b c"), (7, "a b c"), (None, "d e"), (None, None)]), SF).collect()
+    assert sorted((r.doc_id or -1) for r in packed) == [-1, -1, 7, 7]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
