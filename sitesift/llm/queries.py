@@ -11,18 +11,26 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .bpe_tree import round_trip
 from .common import table
+from .filter_audit import AUDIT_SQL, audit
 from .fingerprints import fingerprint_edits
+from .hard_negatives import mine
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import score_quality
 from .secret_scan import report, scan, train
 from .substring_dedup import dedup_substrings
 from .token_counts import count_tokens
+from .url_filter import judge, labelled_urls
+from .url_filter import train as train_urls
 from .warc import archive
 
 # Fixed values of the word vocabulary: its pre-token pattern (on lower-cased text) and special strings.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WORD_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+# The URL rules.
+URL_RULES = {
+    "org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block",
+}
 
 
 def tokenizer_path(name: str) -> str:
@@ -87,8 +95,24 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "pages"), URL_RULES, train_urls(labelled_urls(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(
+        table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0,
+        lambda vec_id, label: F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_secret_scan, op3_near_dedup, op4_packing, op5_quality, op6_fingerprints, op7_nearest,
-    op8_token_counts, op9_warc, op10_bpe_round_trip,
+    op8_token_counts, op9_warc, op10_bpe_round_trip, op11_filter_audit, op12_url_filter, op13_hard_negatives,
 )}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": AUDIT_SQL}
