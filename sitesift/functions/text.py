@@ -65,9 +65,11 @@ def title_or_default(c) -> Column:
     return F.when(x == "", F.lit(UNKNOWN_TITLE)).otherwise(x)
 
 
-def truncate_text(c, max_chars: int = DESCRIPTION_MAX_CHARS) -> Column:
-    """SC-14: cut at ``max_chars`` code points, back up to a space within the last 100, add a note."""
+def truncate_text(c, max_chars: int | None = DESCRIPTION_MAX_CHARS) -> Column:
+    """SC-14: cut at ``max_chars`` code points (None: never), back up to a space within the last 100, add a note."""
     c = _c(c)
+    if max_chars is None:
+        return c
     cut = F.substring(c, 1, max_chars)
     rpos = F.instr(F.reverse(cut), " ")
     last_space0 = F.when(rpos == 0, F.lit(-1)).otherwise(F.length(cut) - rpos)  # 0-based

@@ -1,32 +1,46 @@
 """Detail-page extraction (FLT-10, EXT-7..17, JN-2, WIN-3, WIN-6, AGG-9..12, SRT-2).
 
-Input is the node table of ``explode_nodes`` (partitioned by ``page_id``);
-every step below is a filter, window, equi-join keyed by ``page_id`` or a
-``page_id`` aggregate, so the whole extraction adds no shuffle beyond the one
-that built the node table.  ``textContent`` of all elements a step needs is
-computed in one pass (``_texts``) and joined back by ``(page_id, node_id)``.
+The plan, for any number of pages:
+
+1. ``marked_nodes``: the parse's rows, one shuffle by ``page_id``, flags and
+   page windows, written once as a table bucketed by ``page_id``;
+2. ``main_content``: the main container of each page;
+3. ``page_rows``: two window passes (siblings, document order) name for each
+   node the label/value pair it may stand for, then one aggregate gives one
+   row per page: its text nodes as an array, and the ranges of everything
+   whose text is wanted.  ``textContent`` is a slice of that array, so no text is joined;
+4. ``parse_details``: pairs, images and page fields from these rows.
+
+Steps 2 to 4 read bucketed tables and add no shuffle.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import profile as P
 from ..functions.text import js_trim, norm_cell, norm_label, strip_site_suffix, truncate_text
 from ..session import materialize as _materialize
 from ..functions.urls import image_host_allowed, image_resolve, valid_image
-from .selectors import with_match, with_priority
+from ..sources.html_nodes import CODE_FAILED, CODE_INVALID
+from .selectors import bit, first_bit, quoted, with_flags, with_rules
 from .tree import (
-    is_element,
-    descendants,
+    SIBLINGS,
+    in_body,
+    inside,
     inside_flag,
-    text_of,
-    with_body_bounds,
-    with_running_counts,
+    is_element,
+    next_flagged,
+    page_texts,
     subtree_stats,
+    text_at,
+    w_doc,
+    w_siblings,
+    w_whole,
+    with_running_counts,
 )
 
 NA = P.NOT_AVAILABLE
@@ -45,11 +59,46 @@ def strip_boilerplate(nodes: DataFrame, selectors=None) -> DataFrame:
 
 
 def mark_boilerplate(nodes: DataFrame, selectors=None) -> DataFrame:
-    """Like ``strip_boilerplate`` but keeps every row with a ``removed`` flag."""
+    """Like ``strip_boilerplate`` but keeps every row with a ``removed`` flag.
+
+    One window operator: the body's bounds and the running end of flagged subtrees.  The body itself and what holds
+    it are never flagged.
+    """
     sels = selectors if selectors is not None else P.STRIP_SELECTORS
-    df = with_body_bounds(nodes)
-    df = with_match(df, sels, "_strip")
-    return df.withColumn("removed", inside_flag(F.col("_strip") & F.col("in_body"), strict=False)).drop("_strip")
+    df = with_flags(nodes, {"_strip": sels})
+    flagged = F.col("_strip") & ~F.col("tag").isin("html", "body", "#document")
+    df = df.withColumns({"in_body": in_body(), "_covered": inside_flag(flagged, strict=False)})
+    return df.withColumn("removed", F.col("in_body") & F.col("_covered")).drop("_strip", "_covered")
+
+
+def marked_nodes(nodes: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE) -> DataFrame:
+    """Boilerplate flags and the rules a node matches as bits: ``main_rules``, ``desc``, ``roles``.
+
+    ``roles`` has the bits of PARTS, ``desc`` those of the description selectors.  Attributes no later step asks for
+    are dropped, so the written table is narrow.
+    """
+    parts = [f".{profile.details_row_class}", f".{profile.details_key_class}", f".{profile.details_value_class}", f".{profile.details_block_class}"]
+    groups = {"main_rules": P.MAIN_CONTENT_SELECTORS, "desc": P.DESCRIPTION_SELECTORS, "_parts": parts}
+    df = with_flags(with_rules(mark_boilerplate(nodes), groups), {"_span": P.LABEL_SPAN_SELECTORS})
+    cls = F.coalesce("class_raw", F.lit(""))
+    any_of = lambda words: reduce(lambda a, b: a | b, [cls.contains(w) for w in words])
+    flags = [bit("_parts", i) for i in range(1, 5)] + [
+        F.col("_span"), any_of(P.PAIR_DIV_CLASS_WORDS), any_of(["label", "title"]) | F.col("tag").isin("label", "span", "strong"), any_of(["value", "content"])]
+    roles = reduce(lambda a, b: a + b, [F.coalesce(f, F.lit(False)).cast("int") * (1 << i) for i, f in enumerate(flags)])
+    # classes and ids with one of these words are no main content (SRT-2)
+    low = F.lower(F.concat_ws(" ", "elem_id", "class_raw"))
+    side = low.contains("nav") | low.contains("footer") | low.contains("sidebar")
+    return df.select(
+        "page_id", "node_id", "end_id", "parent_id", "kind", "tag", "elem_id", "text", "t0", "t1", "in_body", "removed", "desc", roles.alias("roles"),
+        side.alias("side"), F.col("attrs").getItem("href").alias("href"), F.col("attrs").getItem("src").alias("src"),
+        F.array_contains("classes", profile.image_container_class).alias("image_box"), "main_rules")
+
+
+PARTS = ["row", "key", "value", "block", "span", "pair", "like_label", "like_value"]
+
+
+def role(name: str) -> Column:
+    return bit("roles", PARTS.index(name) + 1)
 
 
 # ---------------------------------------------------------------------------
@@ -58,450 +107,310 @@ def mark_boilerplate(nodes: DataFrame, selectors=None) -> DataFrame:
 def main_content(nodes: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """(page_id, main_id, main_end, main_source) for each page.
 
-    ``nodes`` is the stripped node table; ``marked`` (from
-    ``mark_boilerplate``) is used for the subtree sizes when given.
+    ``marked`` comes from ``marked_nodes``; ``nodes`` alone are taken as they are, nothing removed.
 
     First match of the prioritized selectors; else the div/section/article
     with most descendant elements (text >= 100 chars, no nav/footer/sidebar
-    in id or class; first on ties); else the body.
+    in id or class; first on ties); else the body.  Subtree sizes are
+    computed for pages without a selector match only.
     """
-    pr = with_priority(nodes.filter(is_element()), P.MAIN_CONTENT_SELECTORS, "_mp")
-    by_sel = (
-        pr.filter(F.col("_mp").isNotNull())
-        .groupBy("page_id")
-        .agg(F.min(F.struct("_mp", "node_id", "end_id")).alias("m"))
-        .select("page_id", F.col("m.node_id").alias("sel_id"), F.col("m.end_id").alias("sel_end"))
-    )
-    counted = with_running_counts(marked, ~F.col("removed")) if marked is not None else with_running_counts(nodes)
-    low_id = F.lower(F.coalesce(F.col("elem_id"), F.lit("")))
-    low_cls = F.lower(F.coalesce(F.col("class_raw"), F.lit("")))
-    bad = F.lit(False)
-    for w in ("nav", "footer", "sidebar"):
-        bad = bad | low_id.contains(w) | low_cls.contains(w)
-    alive = ~F.col("removed") if marked is not None else F.lit(True)
-    cand = counted.filter(F.col("tag").isin("div", "section", "article") & F.col("in_body") & ~bad & alive)
+    if marked is None:
+        marked = marked_nodes(nodes).withColumn("removed", F.lit(False))
+    alive = ~F.col("removed")
+    rank = F.when((F.col("main_rules") != 0) & alive, F.struct(first_bit("main_rules").alias("rank"), "node_id", "end_id"))
+    page = marked.groupBy("page_id").agg(
+        F.min(rank).alias("sel"),
+        F.min(F.when(F.col("tag") == "body", F.struct("node_id", "end_id"))).alias("first_body"),
+        F.min(F.when(F.col("node_id") == 0, F.struct("node_id", "end_id"))).alias("document"),
+    ).filter("document is not null").withColumn("body", F.coalesce("first_body", "document"))
+    narrow = marked.filter(F.col("kind") != "page").select("page_id", "node_id", "end_id", "kind", "tag", "text", "in_body", "removed", "side")
+    counted = with_running_counts(narrow.join(page.filter("sel is null").select("page_id"), "page_id", "left_semi"), alive)
+    cand = counted.filter(F.col("tag").isin("div", "section", "article") & F.col("in_body") & ~F.col("side") & alive)
+    cand = cand.select("page_id", "node_id", "end_id", "elem_cum", "text_cum")
     stats = subtree_stats(cand, counted).filter((F.col("text_len") >= 100) & (F.col("n_desc") > 0))
-    best = (
-        stats.groupBy("page_id")
-        .agg(F.max(F.struct("n_desc", (-F.col("node_id")).alias("neg"), "node_id", "end_id")).alias("b"))
-        .select("page_id", F.col("b.node_id").alias("fb_id"), F.col("b.end_id").alias("fb_end"))
+    best = stats.groupBy("page_id").agg(
+        F.max(F.struct("n_desc", (-F.col("node_id")).alias("neg"), "node_id", "end_id")).alias("b")
     )
-    body = (
-        nodes.filter((F.col("tag") == "body") | (F.col("node_id") == 0))
-        .groupBy("page_id")
-        .agg(F.max(F.struct((F.col("tag") == "body").alias("isb"), (-F.col("node_id")).alias("neg"), "node_id", "end_id")).alias("x"))
-        .select("page_id", F.col("x.node_id").alias("body_id"), F.col("x.end_id").alias("body_end"))
-    )
-    out = body.join(by_sel, "page_id", "left").join(best, "page_id", "left")
-    return out.select(
-        "page_id",
-        F.coalesce("sel_id", "fb_id", "body_id").alias("main_id"),
-        F.coalesce("sel_end", "fb_end", "body_end").alias("main_end"),
-        F.when(F.col("sel_id").isNotNull(), F.lit("selector"))
-        .when(F.col("fb_id").isNotNull(), F.lit("largest"))
-        .otherwise(F.lit("body"))
-        .alias("main_source"),
-    )
-
-
-def in_main(df: DataFrame, main: DataFrame) -> DataFrame:
-    """Rows of ``df`` that are strict descendants of their page's main content."""
-    m = main.select("page_id", "main_id", "main_end")
-    return df.join(m, "page_id").filter(
-        (F.col("node_id") > F.col("main_id")) & (F.col("node_id") <= F.col("main_end"))
-    ).drop("main_id", "main_end")
-
-
-def _first_per_page(df: DataFrame, out: str) -> DataFrame:
-    return df.groupBy("page_id").agg(F.min("node_id").alias(out))
+    out = page.join(best, "page_id", "left")
+    pick = lambda c: F.coalesce(f"sel.{c}", f"b.{c}", f"body.{c}")
+    source = F.when(F.col("sel").isNotNull(), "selector").when(F.col("b").isNotNull(), "largest").otherwise("body")
+    return out.select("page_id", pick("node_id").alias("main_id"), pick("end_id").alias("main_end"), source.alias("main_source"))
 
 
 # ---------------------------------------------------------------------------
 # Label/value pairs (SET-1, EXT-8..12)
 # ---------------------------------------------------------------------------
-def _pair_candidates(nodes: DataFrame, main: DataFrame, profile: P.SiteProfile) -> dict[str, DataFrame]:
-    """Node sets whose text the pair strategies need; no text involved yet."""
-    el = nodes.filter(is_element())
-    el_main = in_main(el, main)
-    out: dict[str, DataFrame] = {}
-
-    # 1. EXT-8 tables: (table, row) in document order, first two cells of each row
-    tables = el_main.filter(F.col("tag") == "table").select("page_id", F.col("node_id").alias("table_id"))
-    rows = descendants(tables, el.filter(F.col("tag") == "tr"), "table_id").select(
-        "page_id", "table_id", F.col("node_id").alias("row_id")
-    )
-    cells = descendants(
-        rows.select("page_id", "row_id").distinct(),
-        el.filter(F.col("tag").isin("td", "th")).select("page_id", "node_id", "tag", "path"),
-        "row_id",
-    )
-    wc = Window.partitionBy("page_id", "row_id").orderBy("node_id")
-    cells = (
-        cells.withColumn("_k", F.row_number().over(wc))
-        .withColumn("_n", F.count("*").over(Window.partitionBy("page_id", "row_id")))
-        .filter((F.col("_k") <= 2) & (F.col("_n") >= 2))
-        .groupBy("page_id", "row_id")
-        .agg(
-            F.min_by(F.struct(F.col("node_id").alias("id"), "tag"), "_k").alias("c1"),
-            F.max_by(F.struct(F.col("node_id").alias("id"), "tag"), "_k").alias("c2"),
-        )
-    )
-    out["table"] = rows.join(cells, ["page_id", "row_id"]).select(
-        "page_id",
-        F.col("table_id").alias("o1"),
-        F.col("row_id").alias("o2"),
-        F.col("c1.id").alias("label_id"),
-        F.col("c1.tag").alias("tag1"),
-        F.col("c2.id").alias("value_id"),
-        F.col("c2.tag").alias("tag2"),
-    )
-
-    # 2. EXT-9 definition lists: dt whose next element sibling is a dd
-    dls = el_main.filter(F.col("tag") == "dl").select("page_id", F.col("node_id").alias("dl_id"))
-    wsib = Window.partitionBy("page_id", "parent_id").orderBy("child_index")
-    sib = el.withColumn("_nx", F.lead(F.struct(F.col("node_id").alias("id"), F.col("tag").alias("tag"))).over(wsib))
-    dts = sib.filter(F.col("tag") == "dt").select("page_id", "node_id", "path", "_nx")
-    out["dl"] = (
-        descendants(dls, dts, "dl_id")
-        .filter(F.col("_nx.tag") == "dd")
-        .select("page_id", F.col("dl_id").alias("o1"), F.col("node_id").alias("o2"),
-                F.col("node_id").alias("label_id"), F.col("_nx.id").alias("value_id"))
-    )
-
-    # 3. EXT-10 divs whose class contains row/field/item/detail: first two element children
-    cls = F.coalesce(F.col("attrs").getItem("class"), F.lit(""))
-    is_pair_div = (F.col("tag") == "div") & reduce(
-        lambda a, b: a | b, [cls.contains(w) for w in P.PAIR_DIV_CLASS_WORDS]
-    )
-    divs = el_main.filter(is_pair_div).select("page_id", F.col("node_id").alias("div_id"))
-    kids = el.filter(F.col("child_index") <= 2).select(
-        "page_id", F.col("parent_id").alias("div_id"), "node_id", "child_index", "tag",
-        F.coalesce(F.col("class_raw"), F.lit("")).alias("cls"),
-    )
-    kid2 = (
-        divs.join(kids, ["page_id", "div_id"])
-        .groupBy("page_id", "div_id")
-        .agg(
-            F.min_by(F.struct(F.col("node_id").alias("id"), "tag", "cls"), "child_index").alias("k1"),
-            F.max_by(F.struct(F.col("node_id").alias("id"), "tag", "cls"), "child_index").alias("k2"),
-            F.count("*").alias("nk"),
-        )
-        .filter(F.col("nk") >= 2)
-    )
-    out["div"] = kid2.select(
-        "page_id", F.col("div_id").alias("o1"), F.lit(0).alias("o2"),
-        F.col("k1.id").alias("label_id"), F.col("k1.tag").alias("tag1"), F.col("k1.cls").alias("cls1"),
-        F.col("k2.id").alias("value_id"), F.col("k2.cls").alias("cls2"),
-    )
-
-    # 4. EXT-11 label spans and their next element sibling
-    spans = with_match(sib.join(main.select("page_id", "main_id", "main_end"), "page_id")
-                       .filter((F.col("node_id") > F.col("main_id")) & (F.col("node_id") <= F.col("main_end"))),
-                       P.LABEL_SPAN_SELECTORS, "_ls")
-    out["span"] = spans.filter(F.col("_ls") & F.col("_nx").isNotNull()).select(
-        "page_id", F.col("node_id").alias("o1"), F.lit(0).alias("o2"),
-        F.col("node_id").alias("label_id"), F.col("_nx.id").alias("value_id"),
-    )
-
-    # 5. EXT-12 detail rows of the first details block (document-wide)
-    blk = _first_per_page(el.filter(F.coalesce(F.array_contains("classes", profile.details_block_class), F.lit(False))), "blk_id")
-    drows = descendants(
-        blk, el.filter(F.coalesce(F.array_contains("classes", profile.details_row_class), F.lit(False))), "blk_id"
-    ).select("page_id", F.col("node_id").alias("row_id"))
-    def first_cell(c: str, name: str) -> DataFrame:
-        cand = el.filter(F.coalesce(F.array_contains("classes", c), F.lit(False))).select("page_id", "node_id", "path")
-        return descendants(drows, cand, "row_id").groupBy("page_id", "row_id").agg(F.min("node_id").alias(name))
-    out["detail"] = (
-        drows.join(first_cell(profile.details_key_class, "label_id"), ["page_id", "row_id"])
-        .join(first_cell(profile.details_value_class, "value_id"), ["page_id", "row_id"])
-        .select("page_id", F.col("row_id").alias("o1"), F.lit(0).alias("o2"), "label_id", "value_id")
-    )
-    return out
+def _range(node: str) -> Column:
+    return F.struct(F.col(f"{node}.t0").alias("t0"), F.col(f"{node}.t1").alias("t1"))
 
 
-def _with_text(df: DataFrame, texts: DataFrame, id_col: str, out: str) -> DataFrame:
-    t = texts.select("page_id", F.col("node_id").alias(id_col), F.col("text").alias(out))
-    return df.join(t, ["page_id", id_col], "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+def with_pairs(alive: DataFrame) -> DataFrame:
+    """Add ``pairs``: array of the label/value pairs an element stands for (SET-1), as text ranges.
 
-
-def all_pairs(cands: dict[str, DataFrame], texts: DataFrame) -> DataFrame:
-    """SET-1: label/value pairs of all strategies, tagged with strategy rank and order."""
-    def txt(df):
-        df = _with_text(df, texts, "label_id", "raw_label")
-        return _with_text(df, texts, "value_id", "raw_value")
-
-    t = txt(cands["table"])
-    first_ok = F.instr(F.col("raw_label"), ":") > 0
-    short = F.length(js_trim(F.col("raw_label"))) < 50
-    t = t.filter(
-        ((F.col("tag1") == "th") & (F.col("tag2") == "td"))
-        | ((F.col("tag1") == "td") & (F.col("tag2") == "td") & (first_ok | short))
-    )
-    d = txt(cands["dl"])
-    v = txt(cands["div"])
-    v = v.filter(
-        (first_ok | short)
-        & (
-            F.col("cls1").contains("label") | F.col("cls1").contains("title")
-            | F.col("tag1").isin("label", "span", "strong")
-            | F.col("cls2").contains("value") | F.col("cls2").contains("content")
-        )
-    )
-    s = txt(cands["span"])
-    r = txt(cands["detail"])
-    cols = ["page_id", "strategy", "o1", "o2", "raw_label", "raw_value"]
-    parts = [
-        t.withColumn("strategy", F.lit(1)).select(*cols),
-        d.withColumn("strategy", F.lit(2)).select(*cols),
-        v.withColumn("strategy", F.lit(3)).select(*cols),
-        s.withColumn("strategy", F.lit(4)).select(*cols),
-        r.withColumn("strategy", F.lit(5)).select(*cols),
+    ``alive``: elements of ``with_siblings``, with ``main`` (struct node_id, end_id).  Each pair has
+    ``ord`` (strategy, then document order), the ranges of label and value, and ``short``: whether the label must have a
+    colon or under 50 characters.  No join: children, next siblings and first cells are the next flagged rows of an
+    ordered window, and only numbers ride along.
+    """
+    at = F.struct("node_id", "t0", "t1")
+    df = alive.withColumns({
+        "_kid": F.struct("parent_id", "t0", "t1", role("like_label").alias("like_label"), F.col("next").alias("_next")),
+        "_cell": F.when(F.col("tag").isin("td", "th"), F.struct("node_id", "t0", "t1", (F.col("tag") == "td").alias("td"))),
+        "_key_at": F.when(role("key"), at), "_value_at": F.when(role("value"), at),
+        "_in_main": inside(F.col("node_id"), F.col("main")),
+    })
+    df = df.withColumns({
+        "_kid": F.lead("_kid").over(w_doc()), "_c1": next_flagged("_cell"), "_c2": next_flagged("_cell", 2),
+        "_key": next_flagged("_key_at"), "_value": next_flagged("_value_at"),
+        "_block": F.min(F.when(role("block"), F.struct("node_id", "end_id"))).over(w_whole()),
+        "_in_table": inside_flag(F.col("_in_main") & (F.col("tag") == "table")),
+        "_in_dl": inside_flag(F.col("_in_main") & (F.col("tag") == "dl")),
+    }).withColumnRenamed("next", "_next")
+    within = lambda c: F.coalesce(F.col(f"{c}.node_id") <= F.col("end_id"), F.lit(False))
+
+    def pair(strategy: int, cond: Column, label: Column, value: Column, short: Column) -> Column:
+        order = (F.lit(strategy).cast("long") * (1 << 32) + F.col("node_id")).alias("ord")
+        return F.when(cond, F.struct(order, label.alias("label"), value.alias("value"), short.alias("short")))
+
+    this = F.struct("t0", "t1")
+    found = [
+        # EXT-8: rows of tables; the first two cells, th/td or td/td
+        pair(1, (F.col("tag") == "tr") & F.col("_in_table") & within("_c2") & F.col("_c2.td"), _range("_c1"), _range("_c2"), F.col("_c1.td")),
+        # EXT-9: dt whose next element sibling is a dd
+        pair(2, (F.col("tag") == "dt") & F.col("_in_dl") & F.col("_next.dd"), this, _range("_next"), F.lit(False)),
+        # EXT-10: the first two element children of a div whose class says so
+        pair(3, (F.col("tag") == "div") & F.col("_in_main") & role("pair") & (F.col("_kid.parent_id") == F.col("node_id")) & F.col("_kid._next").isNotNull()
+             & (F.col("_kid.like_label") | F.col("_kid._next.like_value")), _range("_kid"), _range("_kid._next"), F.lit(True)),
+        # EXT-11: label spans and their next element sibling
+        pair(4, role("span") & F.col("_in_main") & F.col("_next").isNotNull(), this, _range("_next"), F.lit(False)),
+        # EXT-12: rows of the first details block, anywhere in the document
+        pair(5, role("row") & inside(F.col("node_id"), F.col("_block")) & within("_key") & within("_value"), _range("_key"), _range("_value"), F.lit(False)),
     ]
-    pairs = reduce(DataFrame.unionByName, parts)
-    return (
-        pairs.withColumn("label", norm_label("raw_label"))
-        .withColumn("value", norm_cell("raw_value"))
-        .filter((F.col("label") != "") & (F.col("value") != ""))
-        .select("page_id", "strategy", "o1", "o2", "label", "value")
-    )
+    pairs = F.filter(F.array(*found), lambda x: x.isNotNull())
+    return df.withColumn("pairs", F.when(F.size(pairs) > 0, pairs)).drop(
+        "_kid", "_next", "_cell", "_c1", "_c2", "_key", "_value", "_key_at", "_value_at", "_block", "_in_table", "_in_dl", "main", "roles", "parent_id")
 
 
 def alias_table(spark, profile: P.SiteProfile = P.DEFAULT_PROFILE) -> DataFrame:
-    rows = []
-    for rank, (key, aliases) in enumerate(profile.label_aliases, start=1):
-        for a in aliases:
-            rows.append((key, rank, a))
+    """(key, key_rank, alias) of the profile, aliases normalized like labels."""
+    rows = [(key, rank, a) for rank, (key, aliases) in enumerate(profile.label_aliases, start=1) for a in aliases]
     df = spark.createDataFrame(rows, "key string, key_rank int, alias string")
     return df.withColumn("alias", norm_label("alias")).filter(F.col("alias") != "")
 
 
-def match_labels(pairs: DataFrame, aliases: DataFrame, mode: str = "contains") -> DataFrame:
-    """JN-2: pairs x alias rules; equal, or either contains the other (mode 'contains').
+def label_matches(aliases: DataFrame, keys, mode: str = "contains") -> dict[str, Column]:
+    """JN-2: for each key the predicate "``label`` fits one of its aliases": equal, or either contains the other.
 
-    The alias table's size is fixed by the profile (tens of rows), so it is
-    broadcast and the theta join streams the pairs without a shuffle.
+    The alias table is a profile's (tens of rows), so it is read once and compiled into an expression; pairs are
+    neither shuffled nor joined, and a label that all pages share is no hot key.
     """
-    a = F.broadcast(aliases)
-    if mode == "exact":
-        cond = pairs["label"] == a["alias"]
-    else:
-        cond = (pairs["label"] == a["alias"]) | pairs["label"].contains(a["alias"]) | a["alias"].contains(pairs["label"])
-    return pairs.join(a, cond).select(pairs["*"], a["key"]).distinct()
+    rows = aliases.select("key", "alias").collect()
+
+    def fits(key: str) -> Column:
+        own = [quoted(r.alias) for r in rows if r.key == key]
+        conds = [f"label = {a}" if mode == "exact" else f"contains(label, {a}) OR contains({a}, label)" for a in own]
+        return F.expr(f"coalesce({' OR '.join(conds) or 'false'}, false)")
+
+    return {k: fits(k) for k in keys}
 
 
-def extract_metadata(pairs: DataFrame, aliases: DataFrame, mode: str = "contains", keys=None) -> DataFrame:
+def extract_metadata(pairs: DataFrame, aliases: DataFrame, mode: str = "contains", keys=None, also: dict[str, Column] | None = None) -> DataFrame:
     """EXT-13 / WIN-3 / AGG-9: first matching value per key, one column per key (NULL = none).
 
-    Order: strategy (table, dl, div, span, detail rows), then document
-    order.  The first value of strategies 1-4 counts, even 'Not available'; detail rows (strategy 5) fill in
-    where there is none or that one.
+    ``pairs``: page_id, label, value and either ``ord`` and ``strategy`` or strategy, o1, o2.  Order: strategy (table, dl,
+    div, span, detail rows), then document order.  The first value of strategies 1-4 counts, even 'Not available';
+    detail rows (strategy 5) fill in where there is none or that one.  ``also``: more aggregates over all pairs, by name.
     """
     keys = keys or P.METADATA_KEYS
-    m = match_labels(pairs, aliases, mode)
-    m = m.withColumn("ord", F.struct("strategy", "o1", "o2"))
-    first = lambda k, own: F.min_by(F.col("value"), F.when((F.col("key") == k) & own, F.col("ord")))
+    m = pairs if "ord" in pairs.columns else pairs.withColumn("ord", F.struct("strategy", "o1", "o2"))
+    fits = label_matches(aliases, keys, mode)
+    # each label is matched once, into the bits of the keys it fits
+    bits = reduce(lambda a, b: a + b, [F.when(fits[k], 1 << i).otherwise(0) for i, k in enumerate(keys)])
+    m = m.withColumn("fits", bits)
+    m = m if also else m.filter("fits <> 0")
     early, late = F.col("strategy") < 5, F.col("strategy") >= 5
-    aggs = [f for k in keys for f in (first(k, early).alias(f"_{k}"), first(k, late).alias(f"_{k}_late"))]
+    first = lambda i, own: F.min_by(F.col("value"), F.when(bit("fits", i) & own, F.col("ord")))
+    aggs = [f for i, k in enumerate(keys, start=1) for f in (first(i, early).alias(f"_{k}"), first(i, late).alias(f"_{k}_late"))]
     open_ = lambda k: F.coalesce(F.col(f"_{k}") == NA, F.lit(True))
     chosen = [F.when(open_(k), F.coalesce(f"_{k}_late", f"_{k}")).otherwise(F.col(f"_{k}")).alias(k) for k in keys]
-    return m.groupBy("page_id").agg(*aggs).select("page_id", *chosen)
+    return m.groupBy("page_id").agg(*aggs, *[c.alias(n) for n, c in (also or {}).items()]).select("page_id", *chosen, *(also or {}))
 
 
 # ---------------------------------------------------------------------------
-# EXT-14 titles, EXT-15 descriptions, EXT-16 images, AGG-12 details text
+# One row per page
 # ---------------------------------------------------------------------------
-def _title_roots(nodes: DataFrame, main: DataFrame) -> tuple[DataFrame, DataFrame]:
-    el = nodes.filter(is_element())
-    h1 = _first_per_page(in_main(el.filter(F.col("tag") == "h1"), main), "h1_id")
-    ttl = _first_per_page(el.filter(F.col("tag") == "title"), "title_id")
-    return h1, ttl
-
-
-def page_titles_from(h1: DataFrame, ttl: DataFrame, texts: DataFrame, pages: DataFrame,
-                     profile: P.SiteProfile, listing_title: str | None = None) -> DataFrame:
-    """EXT-14: h1 in main content -> document title -> listing title -> 'Unknown Tender'."""
-    df = pages.select("page_id", *([listing_title] if listing_title else []))
-    df = df.join(h1, "page_id", "left").join(ttl, "page_id", "left")
-    df = _with_text(df, texts, "h1_id", "h1_text")
-    df = _with_text(df, texts, "title_id", "doc_title")
-    h = strip_site_suffix(norm_cell(F.col("h1_text")), profile.site_names)
-    dt_norm = F.regexp_replace(js_trim(F.col("doc_title")), "[ \t\n\f\r]+", " ")
-    d = strip_site_suffix(norm_cell(dt_norm), profile.site_names)
-    lt = norm_cell(F.col(listing_title)) if listing_title else F.lit("")
-    title = (
-        F.when(F.col("h1_id").isNotNull() & (h != ""), h)
-        .when(d != "", d)
-        .when(lt != "", lt)
-        .otherwise(F.lit(P.UNKNOWN_TITLE))
-    )
-    return df.select("page_id", title.alias("title"))
-
-
-def _description_roots(nodes: DataFrame) -> DataFrame:
-    """First element of each description selector: (page_id, node_id, sel_rank)."""
-    el = nodes.filter(is_element())
-    parts = []
-    for i, sel in enumerate(P.DESCRIPTION_SELECTORS, start=1):
-        m = with_match(el, [sel], "_d").filter(F.col("_d"))
-        parts.append(m.groupBy("page_id").agg(F.min("node_id").alias("node_id")).withColumn("sel_rank", F.lit(i)))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def descriptions(nodes: DataFrame, texts: DataFrame, max_chars: int = P.DESCRIPTION_MAX_CHARS) -> DataFrame:
-    """EXT-15: (page_id, description); '' when none was found."""
-    el = nodes.filter(is_element())
-    # a) selector blocks with more than 20 characters
-    sel = _with_text(_description_roots(nodes), texts, "node_id", "t")
-    sel = sel.withColumn("t", norm_cell("t")).filter(F.length("t") > 20)
-    by_sel = sel.groupBy("page_id").agg(F.min_by("t", "sel_rank").alias("d_sel"))
-
-    # b) sections after a heading that mentions description/details (WIN-6)
-    heads = _with_text(
-        el.filter(F.col("tag").isin(*P.DESCRIPTION_HEADING_TAGS)).select("page_id", "node_id", "parent_id", "child_index"),
-        texts, "node_id", "ht",
-    )
-    ht = F.lower(js_trim(F.col("ht")))
-    heads = heads.filter(reduce(lambda a, b: a | b, [ht.contains(w) for w in P.DESCRIPTION_HEADING_WORDS]))
-    w_after = Window.partitionBy("page_id", "parent_id").orderBy("child_index").rowsBetween(1, Window.unboundedFollowing)
-    is_h = F.col("tag").isin("h1", "h2", "h3", "h4", "h5")
-    sibs = el.filter(F.col("parent_id").isNotNull()).withColumn(
-        "next_h", F.min(F.when(is_h, F.col("child_index"))).over(w_after)
-    )
-    heads = heads.join(
-        sibs.select("page_id", "node_id", "next_h"), ["page_id", "node_id"]
-    ).select("page_id", F.col("node_id").alias("h_id"), "parent_id", F.col("child_index").alias("h_ci"), "next_h")
-    members = heads.join(
-        sibs.select("page_id", "parent_id", F.col("node_id").alias("s_id"), F.col("child_index").alias("s_ci"), "tag"),
-        ["page_id", "parent_id"],
-    ).filter(
-        (F.col("s_ci") > F.col("h_ci"))
-        & (F.col("next_h").isNull() | (F.col("s_ci") < F.col("next_h")))
-        & ~F.col("tag").isin("table", "dl")
-    )
-    mt = text_of(members.select("page_id", F.col("s_id").alias("node_id")), nodes, "node_id", "st")
-    members = members.join(mt.withColumnRenamed("node_id", "s_id"), ["page_id", "s_id"]).withColumn("st", js_trim("st"))
-    members = members.filter(F.col("st") != "")
-    sect = (
-        members.groupBy("page_id", "h_id")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_ci", "st"))), lambda x: x["st"]), "\n\n").alias("t"))
-        .withColumn("t", norm_cell("t"))
-        .filter(F.length("t") > 20)
-    )
-    by_head = sect.groupBy("page_id").agg(F.min_by("t", "h_id").alias("d_head"))
-    out = by_sel.join(by_head, "page_id", "full")
-    d = F.coalesce("d_sel", "d_head")
-    return out.select("page_id", truncate_text(d, max_chars).alias("description"))
-
-
-def page_images(nodes: DataFrame, main: DataFrame, pages: DataFrame, profile: P.SiteProfile,
-                url_col: str = "url") -> DataFrame:
-    """EXT-16 + FLT-12/13 + AGG-11: (page_id, image_urls) distinct, in document order."""
-    el = nodes.filter(is_element())
-    imgs = el.filter(F.col("tag") == "img").select(
-        "page_id", "node_id", "path", F.coalesce(F.col("attrs").getItem("src"), F.lit("")).alias("src")
-    )
-    c1 = _first_per_page(el.filter(F.col("elem_id") == profile.image_container_id), "root_id")
-    c2 = _first_per_page(el.filter(F.coalesce(F.array_contains("classes", profile.image_container_class), F.lit(False))), "root_id")
-    s1 = descendants(c1, imgs, "root_id").withColumn("src_rank", F.lit(1))
-    s2 = descendants(c2, imgs, "root_id").withColumn("src_rank", F.lit(2))
-    purl = pages.select("page_id", F.col(url_col).alias("_purl"))
-    s3 = (
-        in_main(imgs, main).join(purl, "page_id", "left")
-        .filter((js_trim("src") != "") & F.coalesce(image_resolve(F.col("src"), F.col("_purl")).contains(profile.image_path_marker), F.lit(False)))
-        .drop("_purl").withColumn("root_id", F.lit(None).cast("int")).withColumn("src_rank", F.lit(3))
-    )
-    cols = ["page_id", "node_id", "src", "src_rank"]
-    allimg = s1.select(*cols).unionByName(s2.select(*cols)).unionByName(s3.select(*cols))
-    chosen = allimg.withColumn("_best", F.min("src_rank").over(Window.partitionBy("page_id"))).filter(
-        F.col("src_rank") == F.col("_best")
-    )
-    chosen = chosen.join(purl, "page_id", "left").filter((js_trim("src") != "") & valid_image("src"))
-    chosen = chosen.withColumn("canon", image_resolve(F.col("src"), F.col("_purl")))
-    chosen = chosen.filter(F.col("canon").isNotNull() & image_host_allowed("canon", profile))
-    return chosen.groupBy("page_id").agg(
-        F.array_distinct(
-            F.transform(F.array_sort(F.collect_list(F.struct("node_id", "canon"))), lambda x: x["canon"])
-        ).alias("image_urls")
+def with_siblings(alive: DataFrame) -> DataFrame:
+    """WIN-5 and WIN-6 in one window operator, for elements that are not removed.
+
+    ``next``: the next element sibling (node_id, range, whether it is a dd, whether its class is a value's).
+    ``kid``: for children of a parent that has a description heading among its children: parent, place among
+    the children, how many follow, the node_id of the next heading among them (null: none), whether it is a heading that
+    may open a section, whether a section takes its text, its range.
+    """
+    w = w_siblings()
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    opens = F.col("tag").isin(*P.DESCRIPTION_HEADING_TAGS)
+    df = alive.withColumns({
+        "_e": F.struct("node_id", "t0", "t1", (F.col("tag") == "dd").alias("dd"), role("like_value").alias("like_value")),
+        "_h": F.when(F.col("tag").isin("h1", "h2", "h3", "h4", "h5"), F.col("node_id")),
+    })
+    df = df.withColumns({
+        "next": F.lead("_e").over(w), "_no": F.row_number().over(w), "_n": F.count("*").over(whole),
+        "_next_h": next_flagged("_h", window=SIBLINGS), "_any": F.max(opens).over(whole),
+    })
+    kid = F.struct(
+        "parent_id", F.col("_no").alias("no"), (F.col("_n") - F.col("_no")).cast("int").alias("after"), F.col("_next_h").alias("next_h"),
+        opens.alias("opens"), (~F.col("tag").isin("table", "dl")).alias("taken"), "node_id", "t0", "t1",
+    )
+    return df.withColumn("kid", F.when(F.col("_any") & F.col("parent_id").isNotNull(), kid)).drop("_e", "_h", "_no", "_n", "_next_h", "_any")
+
+
+def page_rows(marked: DataFrame, main: DataFrame, profile: P.SiteProfile) -> DataFrame:
+    """One row per page with the texts and candidates of all fields; see the module's plan, step 3."""
+    texts = marked.filter("kind = 'text'").groupBy("page_id").agg(page_texts(~F.col("removed")).alias("texts"))
+    df = marked.filter(is_element() & ~F.col("removed")).drop("kind", "text", "removed", "in_body", "href", "side", "main_rules")
+    df = df.join(main.select("page_id", F.struct(F.col("main_id").alias("node_id"), F.col("main_end").alias("end_id")).alias("main")), "page_id", "left")
+    df = with_pairs(with_siblings(df))
+    at, span = F.struct("node_id", "t0", "t1"), F.struct("node_id", "end_id")
+    first = lambda cond, what=at: F.min(F.when(cond, what))
+    n_desc = len(P.DESCRIPTION_SELECTORS)
+    page = df.groupBy("page_id").agg(
+        F.flatten(F.collect_list("pairs")).alias("pairs"),
+        first((F.col("tag") == "h1") & F.col("_in_main")).alias("h1"),
+        first(F.col("tag") == "title").alias("head_title"),
+        *[first(bit("desc", i)).alias(f"desc{i}") for i in range(1, n_desc + 1)],
+        F.sort_array(F.collect_list("kid")).alias("kids"),
+        F.collect_list(F.when(F.col("tag") == "img", F.struct("node_id", F.coalesce("src", F.lit("")).alias("src"), F.col("_in_main").alias("in_main")))).alias("imgs"),
+        first(F.col("elem_id") == profile.image_container_id, span).alias("box1"),
+        first(F.coalesce("image_box", F.lit(False)), span).alias("box2"),
+    ).join(texts, "page_id", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
+    texts = F.col("texts")
+    text = lambda x: text_at(texts, x["t0"], x["t1"])
+    heads = F.filter(
+        F.transform("kids", lambda k, i: F.struct(k.alias("k"), i.alias("i"))),
+        lambda x: x["k"]["opens"] & F.exists(F.array(*map(F.lit, P.DESCRIPTION_HEADING_WORDS)), lambda w: F.lower(js_trim(text(x["k"]))).contains(w)),
+    )
+    # the siblings after heading i, up to the next heading
+    run = lambda x: F.filter(F.slice("kids", x["i"] + 2, x["k"]["after"]), lambda k: x["k"]["next_h"].isNull() | (k["node_id"] < x["k"]["next_h"]))
+    section = lambda x: F.array_join(F.filter(F.transform(F.filter(run(x), lambda k: k["taken"]), lambda k: js_trim(text(k))), lambda t: t != ""), "\n\n")
+    long_enough = lambda t: F.when(F.length(t) > 20, t)
+    heading = F.aggregate(
+        F.sort_array(F.transform(heads, lambda x: F.struct(x["k"]["node_id"].alias("node_id"), x["k"].alias("k"), x["i"].alias("i")))),
+        F.lit(None).cast("string"), lambda acc, x: F.when(acc.isNotNull(), acc).otherwise(long_enough(norm_cell(section(x)))),
+    )
+    in_box = lambda box: F.filter("imgs", lambda x: F.coalesce((x["node_id"] > F.col(box)["node_id"]) & (x["node_id"] <= F.col(box)["end_id"]), F.lit(False)))
+    numbered = lambda images, rank: F.transform(images, lambda x: F.struct(x["node_id"].alias("node_id"), x["src"].alias("src"), F.lit(rank).alias("rank")))
+    images = (
+        F.when(F.size(in_box("box1")) > 0, numbered(in_box("box1"), 1)).when(F.size(in_box("box2")) > 0, numbered(in_box("box2"), 2))
+        .otherwise(numbered(F.filter("imgs", lambda x: x["in_main"]), 3))
+    )
+    described = [long_enough(norm_cell(text_at(texts, F.col(f"desc{i}.t0"), F.col(f"desc{i}.t1")))) for i in range(1, n_desc + 1)]
+    return page.select(
+        "page_id",
+        F.transform("pairs", lambda p: F.struct(
+            p["ord"].alias("ord"), text(p["label"]).alias("label"), text(p["value"]).alias("value"), p["short"].alias("short"))).alias("pairs"),
+        text_at(texts, F.col("h1.t0"), F.col("h1.t1")).alias("h1"),
+        text_at(texts, F.col("head_title.t0"), F.col("head_title.t1")).alias("head_title"),
+        F.coalesce(*described, heading).alias("description"),
+        images.alias("images"),
     )
 
 
-def details_text(cands_detail: DataFrame, texts: DataFrame) -> DataFrame:
-    """AGG-12: 'key: value' lines of the detail block joined by CRLF."""
-    df = _with_text(_with_text(cands_detail, texts, "label_id", "k"), texts, "value_id", "v")
-    df = df.withColumn("k", norm_cell("k")).withColumn("v", norm_cell("v")).filter((F.col("k") != "") & (F.col("v") != ""))
-    return df.groupBy("page_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("o1", F.concat_ws(": ", "k", "v").alias("line")))), lambda x: x["line"]),
-            "\r\n",
-        ).alias("details_text")
+def page_pairs(rows: DataFrame) -> DataFrame:
+    """SET-1: (page_id, ord, strategy, label, value) of all strategies, normalized, blank ones dropped."""
+    p = rows.select("page_id", F.explode("pairs").alias("p")).select("page_id", "p.*")
+    ok = ~F.col("short") | (F.instr("label", ":") > 0) | (F.length(js_trim("label")) < 50)
+    p = p.filter(ok).select(
+        "page_id", "ord", F.shiftright("ord", 32).cast("int").alias("strategy"), norm_label("label").alias("label"),
+        norm_cell("value").alias("value"),
+        F.when(F.shiftright("ord", 32) == 5, norm_cell("label")).alias("key"))
+    return p.filter((F.col("label") != "") & (F.col("value") != ""))
+
+
+# ---------------------------------------------------------------------------
+# EXT-14 titles, EXT-16 images, AGG-12 details text
+# ---------------------------------------------------------------------------
+def page_title(profile: P.SiteProfile, listing_title: str | None = None) -> Column:
+    """EXT-14 on columns h1 and head_title: h1 in main content -> document title -> listing title -> 'Unknown Tender'."""
+    h = strip_site_suffix(norm_cell(F.coalesce("h1", F.lit(""))), profile.site_names)
+    d = strip_site_suffix(norm_cell(F.regexp_replace(js_trim(F.coalesce("head_title", F.lit(""))), "[ \t\n\f\r]+", " ")), profile.site_names)
+    lt = norm_cell(F.col(listing_title)) if listing_title else F.lit("")
+    return F.when(F.col("h1").isNotNull() & (h != ""), h).when(d != "", d).when(lt != "", lt).otherwise(F.lit(P.UNKNOWN_TITLE))
+
+
+def page_images(rows: DataFrame, pages: DataFrame, profile: P.SiteProfile, url_col: str = "url") -> DataFrame:
+    """EXT-16 + FLT-12/13 + AGG-11: (page_id, image_urls) distinct, in document order.
+
+    The first source with any image is final: #id container, class container, then images of the main content whose
+    resolved URL has the path marker.
+    """
+    imgs = rows.select("page_id", F.explode("images").alias("x")).select("page_id", "x.*").filter((js_trim("src") != "") & valid_image("src"))
+    imgs = imgs.join(pages.select("page_id", F.col(url_col).alias("_purl")), "page_id", "left")
+    imgs = imgs.withColumn("canon", image_resolve(F.col("src"), F.col("_purl"))).filter(F.col("canon").isNotNull())
+    imgs = imgs.filter(((F.col("rank") < 3) | F.col("canon").contains(profile.image_path_marker)) & image_host_allowed("canon", profile))
+    return imgs.groupBy("page_id").agg(
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "canon"))), lambda x: x["canon"])).alias("image_urls")
     )
 
 
+def details_text() -> Column:
+    """AGG-12, an aggregate over ``page_pairs``: 'key: value' lines of the detail block joined by CRLF."""
+    line = F.struct("ord", F.concat_ws(": ", "key", "value").alias("line"))
+    lines = F.array_sort(F.collect_list(F.when((F.col("strategy") == 5) & (F.col("key") != ""), line)))
+    return F.array_join(F.transform(lines, lambda x: x["line"]), "\r\n")
+
+
 # ---------------------------------------------------------------------------
 # EXT-17 end to end
 # ---------------------------------------------------------------------------
+# Messages and warnings of failed pages.
+FAILURES = {
+    CODE_INVALID: ("The HTML input must be a string.", "Invalid HTML input type."),
+    CODE_FAILED: ("Failed to parse the tender HTML.", "DOMParser threw an exception."),
+    "NO_TENDER_CONTENT": ("The parsed document has no content.", "Parsed document has no document element."),
+}
+
+
 def parse_details(nodes: DataFrame, pages: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE,
-                  listing_title: str | None = None, url_col: str = "url", materialize: bool = True) -> DataFrame:
+                  listing_title: str | None = None, url_col: str = "url") -> DataFrame:
     """Parser result per page from its (unstripped) node table.
 
     ``pages`` carries ``page_id``, ``url_col`` and optionally the listing
     title column.  Output: page_id, 8 metadata columns (defaults applied),
-    title, description, image_urls, details_text, warnings.
+    title, description, image_urls, details_text, warnings, code (``OK`` or the failure), message.
 
-    With ``materialize`` the stripped node table, the pair candidates and
-    the text table are checkpointed (reliably, keeping their ``page_id``
-    partitioning): each later plan stays small and a lost executor never
-    replays the HTML parsing.
+    A page without html, with empty html or that breaks the parser has its code, a message and a warning, no fields
+    and no images.  A page that holds neither an element nor text has the code NO_TENDER_CONTENT and default fields.
+
+    The marked nodes and the page rows are written as tables bucketed by ``page_id``: each later
+    plan stays small and a lost executor never replays the HTML parsing.
     """
     spark = nodes.sparkSession
-    keep = _materialize if materialize else (lambda d: d)
-    marked = keep(mark_boilerplate(nodes))
-    stripped = marked.filter(~F.col("removed")).drop("removed")
-    main = keep(main_content(stripped, marked))
-    cands = _pair_candidates(stripped, main, profile)
-    cand_all = keep(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
-                           [v.withColumn("kind_", F.lit(k)) for k, v in cands.items()]))
-    cands = {k: cand_all.filter(F.col("kind_") == k) for k in cands}
-    h1, ttl = _title_roots(stripped, main)
-    # one textContent pass for every element whose text a step needs
-    roots = reduce(
-        DataFrame.unionByName,
-        [
-            cand_all.select("page_id", F.col("label_id").alias("node_id")),
-            cand_all.select("page_id", F.col("value_id").alias("node_id")),
-            h1.select("page_id", F.col("h1_id").alias("node_id")),
-            ttl.select("page_id", F.col("title_id").alias("node_id")),
-            _description_roots(stripped).select("page_id", "node_id"),
-            stripped.filter(F.col("tag").isin(*P.DESCRIPTION_HEADING_TAGS)).select("page_id", "node_id"),
-        ],
-    )
-    texts = keep(text_of(roots, stripped, "node_id", "text"))
-    pairs = all_pairs(cands, texts)
-    meta = extract_metadata(pairs, alias_table(spark, profile), profile.alias_match)
-    titles = page_titles_from(h1, ttl, texts, pages, profile, listing_title)
-    desc = descriptions(stripped, texts)
-    imgs = page_images(stripped, main, pages, profile, url_col)
-    dtext = details_text(cands["detail"], texts)
+    marked = _materialize(marked_nodes(nodes, profile), "marked")
+    rows = _materialize(page_rows(marked, main_content(marked, marked), profile), "pages")
+    pairs = page_pairs(rows)
+    outcome = marked.filter(F.col("kind") == "page").select("page_id", F.col("tag").alias("code"))
     out = (
-        pages.select("page_id")
-        .join(meta, "page_id", "left")
-        .join(titles, "page_id", "left")
-        .join(desc, "page_id", "left")
-        .join(imgs, "page_id", "left")
-        .join(dtext, "page_id", "left")
-    )
-    meta_cols = [
-        F.when(F.coalesce(js_trim(F.col(k)), F.lit("")) == "", F.lit(NA)).otherwise(F.col(k)).alias(k)
-        for k in P.METADATA_KEYS
-    ]
+        pages.select("page_id", *([listing_title] if listing_title else []))
+        .join(outcome, "page_id", "left")
+        .join(rows.select("page_id", "h1", "head_title", "description"), "page_id", "left")
+        .join(extract_metadata(pairs, alias_table(spark, profile), profile.alias_match, also={"details_text": details_text()}), "page_id", "left")
+        .join(page_images(rows, pages, profile, url_col), "page_id", "left")
+    )
+    failed = F.col("code").isin(CODE_INVALID, CODE_FAILED)
+    field = lambda c: F.when(~failed, c)
+    blank = lambda k: F.coalesce(js_trim(F.col(k)), F.lit("")) == ""
+    said = lambda i: F.coalesce(*[F.when(F.col("code") == c, F.lit(v[i])) for c, v in FAILURES.items()])
     return out.select(
         "page_id",
-        *meta_cols,
-        "title",
-        F.when(F.coalesce(F.col("description"), F.lit("")) == "", F.lit(NA)).otherwise(F.col("description")).alias("description"),
+        *[field(F.when(blank(k), F.lit(NA)).otherwise(F.col(k))).alias(k) for k in P.METADATA_KEYS],
+        field(page_title(profile, listing_title)).alias("title"),
+        field(F.when(F.coalesce(F.col("description"), F.lit("")) == "", F.lit(NA)).otherwise(truncate_text(F.col("description"), profile.description_max_chars))).alias("description"),
         F.coalesce(F.col("image_urls"), F.array().cast("array<string>")).alias("image_urls"),
         F.coalesce(F.col("details_text"), F.lit("")).alias("details_text"),
-        F.array().cast("array<string>").alias("warnings"),
+        F.filter(F.array(said(1)), lambda w: w.isNotNull()).alias("warnings"),
+        "code", said(0).alias("message"),
+        F.coalesce(F.length("description") > (profile.description_max_chars or (1 << 30)), F.lit(False)).alias("truncated"),
     )
 
 

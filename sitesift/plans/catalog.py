@@ -34,11 +34,11 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # pages
 # ---------------------------------------------------------------------------
 def q_page_summary(spark, sf):
-    return jobs.page_summary(_t(spark, sf, "pages"))
+    return jobs.page_summary(_t(spark, sf, "pages")).drop("code")
 
 
 def q_page_titles(spark, sf):
-    return jobs.page_titles(_t(spark, sf, "pages"))
+    return jobs.page_titles(_t(spark, sf, "pages")).drop("code")
 
 
 def q_page_links(spark, sf):

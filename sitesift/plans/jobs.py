@@ -10,28 +10,38 @@ from pyspark.sql import functions as F
 from .. import profile as P
 from ..functions.text import VISIBLE
 from ..functions.naming import status_code
-from ..functions.urls import normalize_url, redirect_ok, url_parts, validate_detail_url
-from ..operators.detail import _title_roots, main_content, mark_boilerplate, page_titles_from, parse_details
+from ..functions.urls import normalize_url, redirect_ok, validate_detail_url
+from ..operators.detail import main_content, marked_nodes, page_title, parse_details
 from ..operators.listing import extract_listings
-from ..operators.tree import is_element, text_of, with_running_counts, subtree_stats
+from ..operators.tree import inside, is_element, page_texts, subtree_stats, text_at, with_running_counts
 from ..session import configure, materialize
-from ..sources.html_nodes import explode_nodes
+from ..sources.html_nodes import CODE_FAILED, CODE_INVALID, explode_nodes
 
 
 def gate_captures(captures: DataFrame, expected_id_col: str = "expected_id",
                   profile: P.SiteProfile = P.DEFAULT_PROFILE) -> DataFrame:
     """FLT-3 + JN-7: first failing rule wins; adds ``outcome_code`` and ``message``.
 
-    Runs before any HTML parsing, so rejected captures never reach the
-    Python step.  The message table has a fixed size (12 codes): broadcast.
+    The order of the rules: the URL is a detail URL (where there is a ``url`` column), the status, the body, the
+    redirect, the content type, block phrases in the first ``profile.block_scan_chars`` characters.  Without the
+    column ``expected_id_col`` the id expected after redirects is that of the URL.  Runs before any HTML parsing, so
+    rejected captures never reach the Python step.  The message table has a fixed size (12 codes): broadcast.
     """
     html = F.col("html")
-    blocked = F.lower(F.substring(html, 1, 2000)).rlike("|".join(re.escape(ph) for ph in P.BLOCK_PHRASES))
+    added = []
+    if "url" in captures.columns:
+        captures, added = captures.withColumn("_url", validate_detail_url(F.col("url"), profile)), ["_url"]
+    if expected_id_col not in captures.columns:
+        captures = captures.withColumn(expected_id_col, F.col("_url.tender_id") if added else F.lit(None).cast("string"))
+    start = F.substring(html, 1, profile.block_scan_chars) if profile.block_scan_chars else html
+    blocked = F.lower(start).rlike("|".join(re.escape(ph) for ph in P.BLOCK_PHRASES))
     ctype = F.lower(F.coalesce(F.col("content_type"), F.lit("")))
     html_type = ctype.startswith(P.HTML_CONTENT_TYPES[0]) | ctype.startswith(P.HTML_CONTENT_TYPES[1])
     st = F.col("status")
+    bad_url = ~F.coalesce(F.col("_url.valid"), F.lit(False)) if added else F.lit(False)
     code = (
-        F.when(~F.coalesce(st.between(200, 299), F.lit(False)), status_code(st))
+        F.when(bad_url, F.lit("INVALID_TENDER_URL"))
+        .when(~F.coalesce(st.between(200, 299), F.lit(False)), status_code(st))
         .when(html.isNull() | ~html.rlike(VISIBLE), F.lit("EMPTY_HTML"))
         .when(~redirect_ok(F.col("final_url"), F.col(expected_id_col), profile), F.lit("UNEXPECTED_REDIRECT"))
         .when(~html_type, F.lit("UNEXPECTED_CONTENT_TYPE"))
@@ -40,45 +50,39 @@ def gate_captures(captures: DataFrame, expected_id_col: str = "expected_id",
     )
     spark = captures.sparkSession
     msgs = spark.createDataFrame(P.ERROR_MESSAGES, "code string, message string")
-    g = captures.withColumn("outcome_code", code)
+    g = captures.withColumn("outcome_code", code).drop(*added)
     return g.join(F.broadcast(msgs), g.outcome_code == msgs.code, "left").drop("code")
 
 
-def nodes_of(captures: DataFrame) -> DataFrame:
-    """SRC-3 on captures that passed the gate (or plain pages)."""
-    return explode_nodes(captures)
-
-
 def page_summary(pages: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE) -> DataFrame:
-    """Flagship: (page_id, canonical_url, title, main_tag, n_links) for every page.
+    """Flagship: (page_id, canonical_url, title, main_tag, n_links, code) for every page.
 
     pages -> nodes -> boilerplate strip -> main content -> title; links are
-    the anchors with an href in the whole page.
+    the anchors with an href in the whole page.  A page that could not be parsed has its code, no title and no tag.
     """
     configure(pages.sparkSession)
-    nodes = explode_nodes(pages)
-    marked = materialize(mark_boilerplate(nodes), "marked")
-    stripped = marked.filter(~F.col("removed"))
-    main = main_content(stripped, marked)
-    h1, ttl = _title_roots(stripped, main)
-    roots = h1.select("page_id", F.col("h1_id").alias("node_id")).unionByName(ttl.select("page_id", F.col("title_id").alias("node_id")))
-    texts = text_of(roots, stripped, "node_id", "text")
-    titles = page_titles_from(h1, ttl, texts, pages, profile)
-    links = marked.filter((F.col("tag") == "a") & F.col("attrs").getItem("href").isNotNull()).groupBy("page_id").agg(
-        F.count("*").alias("n_links"))
-    tags = marked.filter(is_element()).select("page_id", F.col("node_id").alias("main_id"), F.col("tag").alias("main_tag"))
-    return (
-        pages.select("page_id", normalize_url(F.col("url")).alias("canonical_url"))
-        .join(titles, "page_id", "left")
-        .join(main.select("page_id", "main_id"), "page_id", "left")
-        .join(tags, ["page_id", "main_id"], "left")
-        .join(links, "page_id", "left")
-        .select("page_id", "canonical_url", "title", "main_tag", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    marked = materialize(marked_nodes(explode_nodes(pages)), "marked")
+    main = main_content(marked, marked)
+    at = F.struct("node_id", "t0", "t1")
+    here = F.struct(F.col("main_id").alias("node_id"), F.col("main_end").alias("end_id"))
+    alive = is_element() & ~F.col("removed")
+    page = marked.join(main, "page_id", "left").groupBy("page_id").agg(
+        page_texts(~F.col("removed")).alias("texts"),
+        F.min(F.when(alive & (F.col("tag") == "h1") & inside(F.col("node_id"), here), at)).alias("h1_at"),
+        F.min(F.when(alive & (F.col("tag") == "title"), at)).alias("title_at"),
+        F.max(F.when(F.col("node_id") == F.col("main_id"), F.col("tag"))).alias("main_tag"),
+        F.count_if((F.col("tag") == "a") & F.col("href").isNotNull()).alias("n_links"),
+        F.max(F.when(F.col("kind") == "page", F.col("tag"))).alias("code"),
     )
+    text = lambda c: text_at(F.col("texts"), F.col(f"{c}.t0"), F.col(f"{c}.t1"))
+    page = page.withColumns({"h1": text("h1_at"), "head_title": text("title_at")})
+    failed = F.col("code").isin(CODE_INVALID, CODE_FAILED)
+    return pages.select("page_id", normalize_url(F.col("url")).alias("canonical_url")).join(page, "page_id", "left").select(
+        "page_id", "canonical_url", F.when(~failed, page_title(profile)).alias("title"), "main_tag", "n_links", "code")
 
 
 def page_titles(pages: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE) -> DataFrame:
-    return page_summary(pages, profile).select("page_id", "title")
+    return page_summary(pages, profile).select("page_id", "title", "code")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -90,13 +94,23 @@ def page_links(pages: DataFrame) -> DataFrame:
     return a.select("page_id", F.row_number().over(w).alias("link_no"), F.col("attrs").getItem("href").alias("href"))
 
 
+def parse_outcomes(pages: DataFrame) -> DataFrame:
+    """(page_id, code, why, n_elements, n_text): one row per capture, whatever became of its parse."""
+    configure(pages.sparkSession)
+    nodes = explode_nodes(pages)
+    counts = nodes.groupBy("page_id").agg(
+        F.max(F.when(F.col("kind") == "page", F.struct(F.col("tag").alias("code"), F.col("text").alias("why")))).alias("x"),
+        F.count_if(is_element() & (F.col("node_id") > 0)).alias("n_elements"), F.count_if(F.col("kind") == "text").alias("n_text"),
+    )
+    return counts.select("page_id", "x.code", "x.why", "n_elements", "n_text")
+
+
 def main_content_stats(pages: DataFrame) -> DataFrame:
     """EXT-7 + AGG-7: main container per page with its descendant and text size."""
     configure(pages.sparkSession)
-    marked = materialize(mark_boilerplate(explode_nodes(pages)), "marked")
-    stripped = marked.filter(~F.col("removed"))
-    main = main_content(stripped, marked)
-    counted = with_running_counts(marked, ~F.col("removed"))
+    marked = materialize(marked_nodes(explode_nodes(pages)), "marked")
+    main = main_content(marked, marked)
+    counted = with_running_counts(marked.filter("kind <> 'page'"), ~F.col("removed"))
     cand = counted.join(main.select("page_id", F.col("main_id").alias("node_id"), "main_source"), ["page_id", "node_id"])
     st = subtree_stats(cand, counted)
     return st.select("page_id", F.col("tag").alias("main_tag"), "main_source", "n_desc")
@@ -114,10 +128,5 @@ def details_job(captures: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE,
 def listings_job(captures: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE) -> tuple[DataFrame, DataFrame]:
     """EXT-5 on listing captures (page_id, url, html)."""
     configure(captures.sparkSession)
-    nodes = materialize(explode_nodes(captures.select("page_id", "html")), "nodes")
+    nodes = explode_nodes(captures.select("page_id", "html"))
     return extract_listings(nodes, captures.select("page_id", "url"), profile)
-
-
-def process_batch(df: DataFrame, fn) -> DataFrame:
-    """UDF-1: apply a user-supplied DataFrame -> DataFrame step (same in ``foreachBatch``)."""
-    return df.transform(fn)

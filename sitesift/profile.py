@@ -176,6 +176,8 @@ class SiteProfile:
     details_key_class: str = "job_detail_cell1"
     details_value_class: str = "job_detail_cell2"
     alias_match: str = "contains"  # or "exact"
+    description_max_chars: int | None = DESCRIPTION_MAX_CHARS  # None: whole descriptions
+    block_scan_chars: int | None = 2000  # block phrases are looked for in the start of a page; None: in all of it
     label_aliases: tuple = field(default_factory=lambda: tuple((k, tuple(v)) for k, v in LABEL_ALIASES))
 
     @property

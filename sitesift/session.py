@@ -39,6 +39,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
         .config("spark.sql.session.timeZone", "UTC")
+        # no call site for every column: plans of hundreds of expressions are built several times faster
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for k, v in RECOMMENDED_CONF.items():
         b = b.config(k, v)

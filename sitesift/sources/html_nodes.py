@@ -5,9 +5,16 @@ later DOM question is a DataFrame filter, join, window or aggregate over the
 rows produced here.
 
 Node numbering is pre-order (document order).  Each element carries the
-interval ``[node_id, end_id]`` of its subtree and ``path``, the ids of its
-ancestors from the document root down to its parent.  Text is kept in
-separate rows so that ``textContent`` can be rebuilt in order.
+interval ``[node_id, end_id]`` of its subtree and the range ``[t0, t1)`` of
+the page's text nodes inside it, so ancestry and ``textContent`` are number
+comparisons and slices; a row has a fixed number of integers, however deep
+the page is nested.  Text is kept in separate rows.
+
+Next to its nodes each capture has one row of kind ``page`` (node_id -1)
+whose ``tag`` is the outcome: ``OK``, ``INVALID_HTML`` (no html),
+``HTML_PARSE_FAILED`` (empty html, or the tokenizer gave up; ``text`` says
+why) or ``NO_TENDER_CONTENT`` (neither an element nor text).  So no capture
+vanishes in this step.
 
 The tree builder is a small browser-like layer over the standard library
 tokenizer: stray end tags are ignored, unclosed elements close with their
@@ -20,16 +27,17 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
-from typing import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+PAGE_ROW = -1  # node_id of the outcome row
+CODE_OK, CODE_INVALID, CODE_FAILED, CODE_EMPTY = "OK", "INVALID_HTML", "HTML_PARSE_FAILED", "NO_TENDER_CONTENT"
+
 NODE_SCHEMA = T.StructType(
     [
-        T.StructField("page_id", T.LongType(), False),
+        T.StructField("page_id", T.LongType(), True),
         T.StructField("node_id", T.IntegerType(), False),
         T.StructField("end_id", T.IntegerType(), False),
         T.StructField("parent_id", T.IntegerType(), True),
@@ -43,7 +51,10 @@ NODE_SCHEMA = T.StructType(
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType()), True),
         T.StructField("text", T.StringType(), True),
         T.StructField("hidden", T.BooleanType(), False),
-        T.StructField("path", T.ArrayType(T.IntegerType()), False),
+        T.StructField("t0", T.IntegerType(), False),
+        T.StructField("t1", T.IntegerType(), False),
+        T.StructField("parent_end", T.IntegerType(), True),
+        T.StructField("up", T.ArrayType(T.StringType()), True),  # tags of parent and grandparent
     ]
 )
 
@@ -72,44 +83,55 @@ class _TreeBuilder(HTMLParser):
         # stack of (tag, node_index)
         self.stack: list[tuple[str, int]] = []
         self.child_count: dict[int, int] = {}
-        self.stack.append(("#document", self._new("element", "#document", {}, None)))
+        self.n_text = 0
+        self.open: dict[str, int] = {}  # how many elements of a tag are open: no walk up the stack for a tag that is not
+        self.push(("#document", self._new("element", "#document", {}, None)))
 
     # -- node creation ---------------------------------------------------
     def _new(self, kind: str, tag: str | None, attrs: dict, text: str | None) -> int:
         nid = len(self.rows)
+        child_index = None
+        element = kind == "element"
         if self.stack:
             parent = self.stack[-1][1]
             prow = self.rows[parent]
-            path = prow[12] + [parent]
             depth = prow[2] + 1
-            phidden = prow[11]
+            hidden = prow[10]
+            up = (prow[6], prow[13][0] if prow[13] else None)
+            if element:
+                child_index = self.child_count.get(parent, 0) + 1
+                self.child_count[parent] = child_index
         else:
-            parent, path, depth, phidden = None, [], 0, False
-        child_index = None
-        if kind == "element" and parent is not None:
-            child_index = self.child_count.get(parent, 0) + 1
-            self.child_count[parent] = child_index
+            parent, depth, hidden, up = None, 0, False, ()
         # FLT-11: hidden attribute or inline display:none / visibility:hidden, inherited
-        hidden = phidden
-        if kind == "element" and not hidden:
-            if "hidden" in attrs or _HIDDEN_STYLE.search(attrs.get("style", "") or ""):
-                hidden = True
-        cls = attrs.get("class") if kind == "element" else None
-        # [node_id, end_id, depth, parent, child_index, kind, tag, id, class_raw, attrs, text, hidden, path]
+        if element and not hidden and attrs:
+            hidden = "hidden" in attrs or bool(_HIDDEN_STYLE.search(attrs.get("style", "")))
+        # [node_id, end_id, depth, parent, child_index, kind, tag, id, class_raw, text, hidden, t0, t1, up, attrs]
         self.rows.append(
-            [nid, nid, depth, parent, child_index, kind, tag, attrs.get("id") if kind == "element" else None,
-             cls, attrs if kind == "element" else None, text, hidden, path]
+            [nid, nid, depth, parent, child_index, kind, tag, attrs.get("id"), attrs.get("class"), text, hidden,
+             self.n_text, self.n_text, up, attrs]
         )
+        if not element:
+            self.n_text += 1
+            self.rows[-1][12] = self.n_text
         return nid
 
     def _close_to(self, idx: int) -> None:
         """Pop the stack down to and including position ``idx``."""
         last = len(self.rows) - 1
         while len(self.stack) > idx:
-            _, nid = self.stack.pop()
-            self.rows[nid][1] = last
+            tag, nid = self.stack.pop()
+            self.open[tag] -= 1
+            row = self.rows[nid]
+            row[1], row[12] = last, self.n_text
+
+    def push(self, item: tuple[str, int]) -> None:
+        self.stack.append(item)
+        self.open[item[0]] = self.open.get(item[0], 0) + 1
 
     def _find(self, tags, boundary) -> int:
+        if not any(self.open.get(t) for t in tags):
+            return -1
         for i in range(len(self.stack) - 1, 0, -1):
             t = self.stack[i][0]
             if t in tags:
@@ -118,6 +140,9 @@ class _TreeBuilder(HTMLParser):
                 return -1
         return -1
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not wanted
+
     # -- tokenizer callbacks ---------------------------------------------
     def handle_starttag(self, tag, attrs_list):
         attrs: dict = {}
@@ -155,14 +180,14 @@ class _TreeBuilder(HTMLParser):
             if i > 0:
                 self._close_to(i)
             if self.stack[-1][0] == "table":
-                self.stack.append(("tbody", self._new("element", "tbody", {}, None)))
+                self.push(("tbody", self._new("element", "tbody", {}, None)))
         elif tag in TABLE_SECTIONS:
             i = self._find(TABLE_SECTIONS | {"tr", "td", "th"}, {"table"})
             if i > 0:
                 self._close_to(i)
         nid = self._new("element", tag, attrs, None)
         if tag not in VOID_TAGS:
-            self.stack.append((tag, nid))
+            self.push((tag, nid))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -173,11 +198,12 @@ class _TreeBuilder(HTMLParser):
         if tag == "br":
             self.handle_starttag("br", [])
             return
+        if not self.open.get(tag):
+            return  # stray end tag: ignored
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
                 self._close_to(i)
                 return
-        # stray end tag: ignored
 
     def handle_data(self, data):
         if not data:
@@ -186,7 +212,7 @@ class _TreeBuilder(HTMLParser):
         last = self.rows[-1]
         # merge with an immediately preceding text sibling
         if last[5] == "text" and last[3] == top:
-            last[10] += data
+            last[9] += data
             return
         self._new("text", None, {}, data)
 
@@ -203,73 +229,105 @@ def parse_html(html: str) -> list[list]:
     return b.finish()
 
 
-def _arrow_schema():
-    import pyarrow as pa
+def parse_outcome(html) -> tuple[list[list], str, str | None]:
+    """(node rows, outcome code, why) of one capture; never raises."""
+    if not isinstance(html, str):
+        return [], CODE_INVALID, "no html"
+    if not html:
+        return [], CODE_FAILED, "empty html"
+    try:
+        rows = parse_html(html)
+    except Exception as e:  # one page never fails the job; its outcome row says so
+        return [], CODE_FAILED, f"{type(e).__name__}: {e}"[:200]
+    if not any(r[5] == "element" and r[0] or r[5] == "text" and r[9].strip() for r in rows):
+        return rows, CODE_EMPTY, None
+    return rows, CODE_OK, None
 
-    return pa.schema(
-        [
-            ("page_id", pa.int64()), ("node_id", pa.int32()), ("end_id", pa.int32()), ("parent_id", pa.int32()),
-            ("depth", pa.int32()), ("child_index", pa.int32()), ("kind", pa.string()), ("tag", pa.string()),
-            ("elem_id", pa.string()), ("classes", pa.list_(pa.string())), ("class_raw", pa.string()),
-            ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("hidden", pa.bool_()),
-            ("path", pa.list_(pa.int32())),
-        ]
-    )
 
+class _Columns:
+    """Node rows gathered as Arrow columns."""
 
-def _explode_batches(batches, chunk: int = 50000):
-    """Arrow batches of (page_id, html) -> Arrow batches of node rows."""
-    import pyarrow as pa
+    PLAIN = 13  # leading fields of a row that are columns as they are
+
+    def __init__(self) -> None:
+        self.page_id: list = []
+        self.plain: list[list] = [[] for _ in range(self.PLAIN)]
+        self.class_at, self.class_values = [0], []
+        self.attr_at, self.attr_keys, self.attr_values = [0], [], []
+        self.parent_end: list = []
+        self.up: list = []
 
-    schema = _arrow_schema()
-    rows_out: list[tuple] = []
+    def add(self, page_id, rows: list[list], code: str, why: str | None) -> None:
+        page = [PAGE_ROW, PAGE_ROW, -1, None, None, "page", code, None, None, why, False, 0, 0, (), {}]
+        self.parent_end.append(None)
+        self.parent_end += [None if r[3] is None else rows[r[3]][1] for r in rows]
+        rows = [page, *rows]
+        self.page_id += [page_id] * len(rows)
+        *plain, up, attrs = zip(*rows, strict=True)
+        for column, values in zip(self.plain, plain, strict=True):
+            column += values
+        self.up += up
+        for cls in plain[8]:
+            if cls:
+                self.class_values += cls.split()
+            self.class_at.append(len(self.class_values))
+        for a in attrs:
+            if a:
+                self.attr_keys += a.keys()
+                self.attr_values += a.values()
+            self.attr_at.append(len(self.attr_keys))
 
-    def flush():
-        cols = list(zip(*rows_out))
-        arrays = [pa.array(c, type=f.type) for c, f in zip(cols, schema)]
-        rows_out.clear()
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+    def batch(self):
+        import pyarrow as pa
 
+        ints, strings = pa.int32(), pa.string()
+        types = [ints, ints, ints, ints, ints, strings, strings, strings, strings, strings, pa.bool_(), ints, ints]
+        node, end, depth, parent, child, kind, tag, elem_id, cls, text, hidden, t0, t1 = [pa.array(c, t) for c, t in zip(self.plain, types, strict=True)]
+        offsets = lambda x: pa.array(x, ints)
+        classes = pa.ListArray.from_arrays(offsets(self.class_at), pa.array(self.class_values, strings))
+        attrs = pa.MapArray.from_arrays(offsets(self.attr_at), pa.array(self.attr_keys, strings), pa.array(self.attr_values, strings))
+        columns = [pa.array(self.page_id, pa.int64()), node, end, parent, depth, child, kind, tag, elem_id, classes, cls, attrs, text, hidden, t0, t1,
+                   pa.array(self.parent_end, ints), pa.array(self.up, pa.list_(strings))]
+        return pa.RecordBatch.from_arrays(columns, [f.name for f in NODE_SCHEMA])
+
+
+def _explode_batches(batches, chunk: int = 20000):
+    """Arrow batches of (page_id, html) -> Arrow batches of node rows."""
+    out = _Columns()
     for rb in batches:
         ids = rb.column(rb.schema.get_field_index("page_id")).to_pylist()
-        htmls = rb.column(rb.schema.get_field_index("html")).to_pylist()
-        for page_id, html in zip(ids, htmls):
-            if not isinstance(html, str):
-                continue
-            try:
-                rows = parse_html(html)
-            except Exception:  # never fail the job on one page
-                continue
-            for r in rows:
-                cls = r[8]
-                attrs = r[9]
-                rows_out.append((
-                    page_id, r[0], r[1], r[3], r[2], r[4], r[5], r[6], r[7],
-                    cls.split() if cls is not None else None, cls,
-                    list(attrs.items()) if attrs is not None else None,
-                    r[10], r[11], r[12],
-                ))
-            if len(rows_out) >= chunk:
-                yield flush()
-    if rows_out:
-        yield flush()
-
-
-def explode_nodes(captures: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """SRC-3: one row per element/text node, hash-partitioned by ``page_id``.
+        htmls = rb.column(rb.schema.get_field_index("html"))
+        for page_id, html in zip(ids, htmls, strict=True):
+            out.add(page_id, *parse_outcome(html.as_py()))
+            if len(out.up) >= chunk:
+                yield out.batch()
+                out = _Columns()
+    if out.up:
+        yield out.batch()
+
+
+def explode_nodes(captures: DataFrame, num_partitions: int | None = None, spread: bool = True) -> DataFrame:
+    """SRC-3: one row per element/text node and an outcome row per capture, hash-partitioned by ``page_id``.
 
     Only ``(page_id, html)`` enter the Python step; the html never travels
     past it.  The result is partitioned by ``page_id`` and sorted by
     ``(page_id, node_id)`` inside each partition, so every later per-page
     join, window and aggregate reuses this single shuffle.
+
+    The parse is the costly step: with ``spread`` its input is dealt
+    round-robin over ``num_partitions`` tasks, so one large file or a few
+    join partitions keep all cores busy.  Pass False where the input has
+    many splits of its own.
     """
     spark = captures.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = captures.select(F.col("page_id").cast("long").alias("page_id"), F.col("html"))
-    # The parse is the only Python step: give it at least ``n`` tasks.  Large
-    # inputs already have far more file splits, so this only spreads small
-    # or single-file inputs (round-robin, no key).
-    if src.rdd.getNumPartitions() < n:
+    if spread:
         src = src.repartition(n)
     nodes = src.mapInArrow(_explode_batches, NODE_SCHEMA)
     return nodes.repartition(n, "page_id").sortWithinPartitions("page_id", "node_id")
+
+
+def page_outcomes(nodes: DataFrame) -> DataFrame:
+    """(page_id, code, why): the outcome of each capture's parse."""
+    return nodes.filter(F.col("kind") == "page").select("page_id", F.col("tag").alias("code"), F.col("text").alias("why"))

@@ -36,6 +36,14 @@ PAGES = {
         <div id="ad-pic-cont"><img src="https://www.tenders.example/images/tenders/ridge.jpg#x"><img src="http://www.tenders.example/images/tenders/ridge.jpg">
         <img src="/images/tenders/relative.jpg"><img src="https://www.tenders.example/images/logo.jpg"><img src="https://elsewhere.example/images/tenders/y.jpg"></div></div>"""),
     14: " \n ",
+    15: None,
+    16: "",
+    17: "<![x[ a section no browser knows ]]><h1>Never seen</h1>",
+    18: "<p>No body tag, no container</p>",
+    19: wrap("<div id='main'><h1>Nested</h1><table><tr><th>Sector</th><td><table><tr><th>Category</th><td>Inner</td></tr></table></td></tr></table></div>"),
+    20: wrap("<div id='main'><h1>Spans</h1><p><strong class='label'>Newspaper</strong><em class='hidden'>no</em> <i>Gazette</i></p></div>"),
+    21: wrap("<div id='main'><h1>Container</h1><div class='ad-pic-cont'><img src='https://www.tenders.example/images/tenders/c.png'></div></div>"),
+    22: wrap("<div id='main'><h1>Plain images</h1><img src='https://www.tenders.example/images/tenders/d.png'><img src='https://www.tenders.example/other/e.png'></div>"),
 }
 
 
@@ -82,3 +90,36 @@ def test_mixed_layout(result):
 def test_blank_page_has_defaults(result):
     r = result.get(14)
     assert r is not None and r["title"] == "Unknown Tender" and r["date_posted"] == NONE
+    assert r["code"] == "NO_TENDER_CONTENT"
+
+
+def test_pages_that_could_not_be_parsed(result):
+    """EXT-17: no page vanishes, and none of these looks like a record."""
+    assert {k: result[k]["code"] for k in (15, 16, 17, 18)} == {15: "INVALID_HTML", 16: "HTML_PARSE_FAILED", 17: "HTML_PARSE_FAILED", 18: "OK"}
+    for k in (15, 16, 17):
+        r = result[k]
+        assert r["title"] is None and r["category"] is None and r["description"] is None and r["image_urls"] == []
+        assert r["message"] and len(r["warnings"]) == 1
+    assert result[18]["title"] == "Unknown Tender" and result[18]["warnings"] == [] and result[18]["message"] is None
+    assert result[10]["code"] == "OK"
+
+
+def test_nested_tables_span_labels_and_other_image_sources(result):
+    # the outer row's first two cells come first: a cell's text holds the inner table's
+    assert result[19]["sector"] == "CategoryInner" and result[19]["category"] == "Inner"
+    assert result[20]["newspaper"] == "Gazette"  # the hidden sibling was stripped
+    assert result[21]["image_urls"] == [f"{HOST}/images/tenders/c.png"]
+    assert result[22]["image_urls"] == [f"{HOST}/images/tenders/d.png"]
+
+
+def test_description_limit_is_a_profile_field(spark):
+    from dataclasses import replace
+
+    from sitesift.profile import DEFAULT_PROFILE
+
+    text = "word " * 30
+    caps = spark.createDataFrame([(1, f"{HOST}/n_tenders-1.html", wrap(f"<div id='main'><div class='description'>{text}</div></div>"))], "page_id long, url string, html string")
+    cut = details_job(caps, replace(DEFAULT_PROFILE, description_max_chars=60)).first()
+    whole = details_job(caps, replace(DEFAULT_PROFILE, description_max_chars=None)).first()
+    assert cut.truncated and cut.description.endswith("The description was truncated.")
+    assert not whole.truncated and whole.description == text.strip()

@@ -3,14 +3,14 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sitesift.sources.html_nodes import parse_html
+from sitesift.sources.html_nodes import explode_nodes, parse_html, parse_outcome
 
 TAGS = ["div", "p", "b", "span", "li", "ul", "table", "tr", "td", "a", "br", "h1", "dl", "dt", "dd"]
 
 
 def tree(html):
     rows = parse_html(html)
-    return [dict(id=r[0], end=r[1], depth=r[2], parent=r[3], ci=r[4], kind=r[5], tag=r[6], text=r[10], hidden=r[11], path=r[12]) for r in rows]
+    return [dict(id=r[0], end=r[1], depth=r[2], parent=r[3], ci=r[4], kind=r[5], tag=r[6], text=r[9], hidden=r[10], t0=r[11], t1=r[12], up=r[13]) for r in rows]
 
 
 def test_script_text_and_comments():
@@ -65,8 +65,27 @@ def test_tree_invariants(html):
         if n["parent"] is not None:
             p = by_id[n["parent"]]
             assert p["id"] < n["id"] <= p["end"]  # parents precede and enclose children
-            assert n["path"] == p["path"] + [p["id"]]
+            assert n["up"][0] == p["tag"] and n["up"][1] == (by_id[p["parent"]]["tag"] if p["parent"] is not None else None)
             assert n["depth"] == p["depth"] + 1
+        # the range of text nodes is that of the interval
+        inside = [m["text"] for m in t[n["id"] : n["end"] + 1] if m["kind"] == "text"]
+        assert inside == [m["text"] for m in t if m["kind"] == "text"][n["t0"] : n["t1"]]
         for m in t:  # intervals nest or are disjoint
             if n["id"] < m["id"] <= n["end"]:
                 assert m["end"] <= n["end"]
+
+
+def test_outcomes_of_odd_captures(spark):
+    pages = [(1, None), (2, ""), (3, " \n "), (4, "<!-- only a comment -->"), (5, "<![x[ broken ]]>text"), (6, "<p>fine</p>"), (7, "just text")]
+    codes = {1: "INVALID_HTML", 2: "HTML_PARSE_FAILED", 3: "NO_TENDER_CONTENT", 4: "NO_TENDER_CONTENT", 5: "HTML_PARSE_FAILED", 6: "OK", 7: "OK"}
+    assert {i: parse_outcome(h)[1] for i, h in pages} == codes
+    nodes = explode_nodes(spark.createDataFrame(pages, "page_id long, html string"))
+    got = {r.page_id: r.tag for r in nodes.filter("kind = 'page'").collect()}
+    assert got == codes and nodes.filter("kind = 'page' and node_id <> -1").count() == 0
+
+
+def test_unclosed_tags_cost_a_fixed_number_of_integers():
+    """No list of ancestors: 2,000 unclosed tags are 2,000 rows of the same size."""
+    rows = parse_html("<div>" * 2000 + "x")
+    assert len(rows) == 2002 and max(len(r[13]) for r in rows) == 2
+    assert not any(isinstance(v, list) for r in rows for v in r)
