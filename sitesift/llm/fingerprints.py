@@ -123,22 +123,28 @@ def fingerprint_edits(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     ring = neighbours(rows.select("doc_id", "n_chars"))
-    own = rows.withColumn("lanes", lanes(F.col("text")))
-    linked = own.join(ring, F.col("doc_id") == F.col("id"), "left").drop("id")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) == 1
-    sent = (
-        linked.filter("before_id is not null").withColumn("lead", first).filter("lead")
-        .select(F.col("before_id").alias("sent_to"), F.expr("substring(text, 1, int(before_take))").alias("tail"), F.col("lanes").alias("next_lanes"))
-    )
-    both = linked.join(sent, F.col("doc_id") == F.col("sent_to"), "left")
+    # the one exchange of texts: both uses below have the same columns before it, so it is made once
+    dealt = rows.filter("doc_id is not null").repartition(shuffle_parts(docs.sparkSession), "doc_id")
+    dealt = dealt.withColumn("lead", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) == 1)
+    linked = dealt.join(ring, F.col("doc_id") == F.col("id")).drop("id")
+    sent = linked.filter(F.col("lead") & (F.col("n_chars") >= 0)).select(
+        F.col("before_id").alias("sent_to"), F.expr("substring(text, 1, int(before_take))").alias("tail"))
+    both = linked.join(sent, F.col("doc_id") == F.col("sent_to"), "left").select("doc_id", "text", "n_chars", "lead", "next_id", "tail")
+    none = rows.filter("doc_id is null").select("doc_id", "text", "n_chars", F.lit(False).alias("lead"), F.lit(None).cast("long").alias("next_id"), F.lit("").alias("tail"))
     take = F.floor(F.col("n_chars") / 3)
     edited = F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 3)))"), F.substring(F.coalesce("tail", F.lit("")), F.lit(1), take.cast("int")))
-    both = both.withColumn("edited", edited)
-    both = both.select(
-        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "lanes", lanes(F.col("edited")).alias("edited_lanes"),
-        F.coalesce("next_lanes", F.expr("cast(array() as array<bigint>)")).alias("next_lanes"),
-    )
-    return both.select(
+
+    def marked(part: DataFrame) -> DataFrame:
+        return part.withColumn("edited", edited).select(
+            "doc_id", "n_chars", "lead", "next_id", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+            lanes(F.col("text")).alias("lanes"), lanes(F.col("edited")).alias("edited_lanes"))
+
+    # every text is fingerprinted once; from here on rows are a few hundred bytes
+    prints = stage(marked(both).unionByName(marked(none)), "prints")
+    of_next = prints.filter("lead").select(F.col("doc_id").alias("of"), F.col("lanes").alias("next_lanes"))
+    prints = prints.join(of_next, F.col("next_id") == F.col("of"), "left")
+    nothing = F.expr("cast(array() as array<bigint>)")
+    return prints.select(
         "doc_id", "n_chars", "edited_sha256", hex_string(F.col("lanes")).alias("fingerprint"), hex_string(F.col("edited_lanes")).alias("edited_fingerprint"),
-        likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"), likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"),
+        likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"), likeness(F.col("lanes"), F.coalesce("next_lanes", nothing)).alias("near_next"),
     )

@@ -15,7 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, text_only
+from .common import text_only
+from .fingerprints import once
 
 # The three base patterns, and what of a match is kept.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,17 +43,47 @@ def no_spans() -> Column:
     return F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
 
 
+BLOCK = 256
+
+
+def blocks(items: Column) -> Column:
+    """``items`` in runs of BLOCK: work that copies what it has so far does so within a run, not over a whole text."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(BLOCK))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(starts, lambda at: F.slice(items, at, BLOCK))
+
+
+def running(items: Column, value, join) -> Column:
+    """For each run of ``items`` the pair (run, what ``join`` makes of the values of all runs before it; 0 before the first).
+
+    ``value`` maps a run to an int.
+    """
+    def carried(runs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        before = F.aggregate(
+            F.transform(runs, value), start,
+            lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.zip_with(runs, before, lambda run, at: F.struct(run.alias("run"), at.alias("at")))
+
+    return once(blocks(items), carried)
+
+
 def placed(found: Column, between: Column, keep) -> Column:
+    """Spans of the matches ``found`` from the text ``between`` them: lengths summed up, run by run."""
     sized = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"), m.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
-    walked = F.aggregate(
-        sized, start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["value"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    total = lambda run: F.aggregate(run, F.lit(0), lambda s, x: s + x["gap"] + x["n"])
+
+    def walk(x: Column) -> Column:
+        start = F.struct(x["at"].alias("at"), no_spans().alias("out"))
+        return F.aggregate(
+            x["run"], start,
+            lambda acc, y: F.struct(
+                (acc["at"] + y["gap"] + y["n"]).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + y["gap"]).alias("start"), (acc["at"] + y["gap"] + y["n"]).alias("end"), y["value"].alias("value")))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    walked = F.flatten(F.transform(running(sized, total, lambda a, b: a + b), walk))
     return F.filter(walked, lambda s: keep(s["value"])) if keep else walked
 
 
@@ -91,33 +122,40 @@ def log_ratios(random: dict[int, int], ordinary: dict[int, int], smooth: float =
     return out
 
 
-def train(docs: DataFrame, text: str = "text", random_rows: int = 20_000, word_rows: int = 2_000) -> list[float]:
-    """The log-ratio table from labelled samples, spread over the table by a hash of the key.
+# Words of letters, joining marks and short numbers.  The possessive repetitions keep the matcher from recursing, so a
+# word may be as long as the text.
+ORDINARY = r"\b[A-Za-z]++(?:[_-]?[A-Za-z]++|[_-]?[0-9]{1,4}+)*+\b"
+
 
-    Labelled random: the values that the base patterns found in about ``random_rows`` documents.  Labelled
-    ordinary: the words of letters and joining marks, of four characters or more, in about ``word_rows`` documents.
+def train(docs: DataFrame, text: str = "text") -> list[float]:
+    """The log-ratio table, counted over all documents.
+
+    Labelled random: the values that the base patterns found.  Labelled ordinary: the words (ORDINARY) of four
+    characters or more.  Distinct values are counted first, then their transitions, so at most SIDE * SIDE numbers
+    reach the driver, whatever the table holds.
     """
-    total = docs.count()
-    rows = base_spans(hash_sample(docs, "doc_id", random_rows, total), text)
+    rows = base_spans(docs, text)
     values = F.concat(F.transform("assign", lambda s: F.regexp_extract(s["value"], ASSIGN, 2)), F.transform("access", lambda s: s["value"]), F.transform("hex", lambda s: s["value"]))
     random = counts_of(rows.select(F.explode(values).alias("value")))
-    some = text_only(hash_sample(docs, "doc_id", word_rows, total), text=text)
-    words = F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]+(?:[_-][A-Za-z]+)*\b"), F.lit(0))
-    ordinary = counts_of(some.select(F.explode(words).alias("value")).filter("length(value) >= 4"))
+    words = F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))
+    ordinary = counts_of(text_only(docs, text=text).select(F.explode(words).alias("value")).filter("length(value) >= 4"))
     return log_ratios(random, ordinary)
 
 
-def scan(docs: DataFrame, ratios: list[float], threshold: float = 1.0, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, ratios: list[float], threshold: float = 0.0, text: str = "text") -> DataFrame:
     """doc_id, text and found: array<struct<start, end, kind, value>> by start, then kind as in KINDS.
 
-    Kind random: candidates (CANDIDATE) with a mean log-ratio of ``threshold`` or more, a digit and a letter,
-    that touch no base span.  Null text is empty and has no spans; a null doc_id stays null; repeated rows are
+    Kind random: candidates (CANDIDATE) with a digit and a letter that touch no base span, with a mean log-ratio of
+    ``threshold`` or more, as a whole and (from six letters on) of their letters alone.  Null text is empty and has no spans; a null doc_id stays null; repeated rows are
     scanned one by one; an empty table gives no row; columns other than doc_id and the text are not read.
     """
     rows = base_spans(docs, text)
     table = F.from_json(F.lit(str(ratios)), "array<double>")  # folded to one constant of SIDE * SIDE numbers
     steps = lambda v: F.aggregate(transitions(v), F.lit(0.0), lambda s, p: s + F.get(table, p))
-    looks = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (steps(v) / (F.length(v) - 1) >= threshold)
+    # numbers inside a name are common; what tells is whether its letters follow each other like letters of words
+    letters = lambda v: F.regexp_replace(v, "[^A-Za-z]+", "")
+    spelled = lambda v: (F.length(letters(v)) < 6) | (steps(letters(v)) / (F.length(letters(v)) - 1) >= threshold)
+    looks = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (steps(v) / (F.length(v) - 1) >= threshold) & spelled(v)
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
     rows = rows.withColumn("candidates", spans(F.col("text"), CANDIDATE, lambda v: v.rlike("[0-9]")))
     free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])) & looks(c["value"]))
@@ -148,9 +186,21 @@ def report(scanned: DataFrame) -> DataFrame:
 
 def redact(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
     """doc_id and the text with every span (overlapping ones as one) replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    piece = lambda acc, s: F.when(
-        s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-    ).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")))
-    walked = F.aggregate("found", start, piece, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return scanned.select("doc_id", F.when(F.size("found") > 0, walked).otherwise(F.col("text")).alias("text"))
+    text, ends = F.col("text"), lambda run: F.array_max(F.transform(run, lambda s: s["end"]))
+
+    def cut(x: Column) -> Column:
+        """The run's pieces of text before its spans, each with a mark after it; ``x.at`` is where the text before it ended."""
+        first, last = x["at"], F.get(x["run"], F.size(x["run"]) - 1)["start"]
+        start = F.struct(first.alias("at"), F.lit("").alias("out"))
+
+        def piece(acc, s, part):
+            later = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+            shown = F.concat(acc["out"], F.substring(part, acc["at"] - first + 1, s["start"] - acc["at"]), F.lit(mark))
+            return F.when(s["start"] < acc["at"], later).otherwise(F.struct(s["end"].alias("at"), shown.alias("out")))
+
+        part = F.substring(text, first + 1, F.greatest(last - first, F.lit(0)))
+        return once(part, lambda p: F.aggregate(x["run"], start, lambda acc, s: piece(acc, s, p), lambda acc: acc["out"]))
+
+    marked = F.array_join(F.transform(running(F.col("found"), ends, F.greatest), cut), "")
+    rest = F.substring(text, ends(F.col("found")) + 1, F.length("text"))
+    return scanned.select("doc_id", F.when(F.size("found") > 0, F.concat(marked, rest)).otherwise(text).alias("text"))

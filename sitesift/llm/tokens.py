@@ -78,10 +78,31 @@ def packed_ids(path: str, chunks: list[bytes]) -> list[bytes]:
     return [array("I", ids).tobytes() for ids in encode_all(path, [c.decode("utf-8", "replace") for c in chunks])]
 
 
-def word_ids(path: str, texts: list[bytes]) -> list[bytes]:
+def separated_ids(path: str, chunks: list[bytes], mark: str, group: int = 1000) -> list[bytes]:
+    """``packed_ids``, many chunks a call: a special string between them is cut out before anything else is done to the
+    text, so each chunk is encoded as if alone, and its id tells where the ids of a chunk end."""
+    import numpy as np
+
+    end = load(path).token_to_id(mark)
+    own = mark.encode()
+    plain = [c for c in chunks if own not in c]
+    joined = [mark.join(c.decode("utf-8", "replace") for c in plain[i : i + group]) for i in range(0, len(plain), group)]
+    out: dict[bytes, bytes] = {}
+    for n, ids in enumerate(encode_all(path, joined)):
+        a = np.array(ids, "<u4")
+        cuts = np.flatnonzero(a == end)
+        part = plain[n * group : (n + 1) * group]
+        starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(a)]])
+        out.update((c, a[s:e].tobytes()) for c, s, e in zip(part, starts, ends, strict=True))
+    rest = [c for c in chunks if own in c]
+    out.update(zip(rest, packed_ids(path, rest), strict=True))
+    return [out[c] for c in chunks]
+
+
+def word_ids(path: str, texts: list[bytes], mark: str = "<|endoftext|>") -> list[bytes]:
     """Packed ids of each text, for a vocabulary that drops white space (every ASCII space is a split)."""
     rows = [t.split() for t in texts]
-    known = fill(memo("word", path), rows, lambda c: packed_ids(path, c))
+    known = fill(memo("word", path), rows, lambda c: separated_ids(path, c, mark))
     return [b"".join(map(known.__getitem__, row)) for row in rows]
 
 

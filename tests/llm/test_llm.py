@@ -99,6 +99,15 @@ def test_secret_scan(spark, docs):
     assert secret_scan.scan(none, secret_scan.train(none)).count() == 0
 
 
+def test_chunks_encoded_many_a_call():
+    from sitesift.llm import tokens
+
+    r = random.Random(12)
+    pool = ["it's", "don't!", "漢字", "e\u0301", "<|endoftext|>", "a<|startoftext|>b", "'", "\u00a0", "#12,3", "Ünïcode", "x" * 50, "😀😀", "\u200d", "</w>"]
+    chunks = sorted({"".join(r.choice(pool + list("abcXYZ019'-_.")) for _ in range(r.randrange(1, 6))).encode() for _ in range(4000)})
+    assert tokens.separated_ids(WORD, chunks, "<|endoftext|>", 64) == tokens.packed_ids(WORD, chunks)
+
+
 def test_random_strings_against_identifiers(spark):
     r = random.Random(5)
     hidden = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
@@ -110,6 +119,35 @@ def test_random_strings_against_identifiers(spark):
     assert all(found[i] == 0 for i in range(50))
 
 
+def test_random_strings_among_names_with_digits(spark):
+    """Planted random strings of letters and digits are found; names with numbers in them are left alone."""
+    r = random.Random(9)
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = "compute render collect window partition results threshold parse user profile account order shipping session buffer index value handler request response".split()
+    name = lambda: f"{r.choice(parts)}_{r.choice(parts)}{r.randrange(100)}_{r.choice(parts)}{r.randrange(10)}"
+    prose = lambda: " ".join(r.choice(parts) for _ in range(60))
+    rows = [(i, f"{prose()} {''.join(r.choice(base) for _ in range(32))} {prose()}") for i in range(60)]
+    rows += [(100 + i, f"{prose()} {name()} {name()} {prose()}") for i in range(60)]
+    rows += [(200 + i, f"{prose()} token={''.join(r.choice(base) for _ in range(24))} {prose()}") for i in range(60)]
+    df = frame(spark, rows)
+    found = {x.doc_id: x.n_random for x in secret_scan.report(secret_scan.scan(df, secret_scan.train(df))).collect()}
+    assert sum(found[i] == 1 for i in range(60)) >= 57
+    assert sum(found[100 + i] > 0 for i in range(60)) < 3
+
+
+def test_secrets_in_very_long_texts(spark):
+    """A joined name as long as the text, and many matches in one text."""
+    many = " ".join(f"password=abcdefgh{i} x" for i in range(6_000))
+    rows = [(1, "ab_" * 100_000), (2, many), (3, "a" * 1_000_000), (4, "x1 " * 50_000)]
+    df = frame(spark, rows)
+    scanned = common.stage(secret_scan.scan(df, secret_scan.train(df)), "scanned")
+    got = {r.doc_id: r for r in secret_scan.report(scanned).collect()}
+    assert got[2].n_assign == 6_000 and (got[2].n_assign, got[2].n_access, got[2].n_hex, got[2].base_sha256) == brute.secrets(many)[:4]
+    assert got[1].n_assign == got[3].n_assign == 0
+    hidden = {r.doc_id: r.text for r in secret_scan.redact(scanned).collect()}
+    assert hidden[2] == " ".join(["[secret] x"] * 6_000) and hidden[4] == rows[3][1]
+
+
 def test_near_dedup(spark, docs):
     for rows, df in ((odd_docs(), docs), (real(spark)[0], common.table(spark, SF, "documents"))):
         assert by_id(near_dedup.near_duplicates(df), "n_shingles", "component_id", "kept") == brute.components(rows)
@@ -412,7 +450,7 @@ def test_pipeline(spark, tmp_path):
     assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == {r.doc_id for r in docs.collect()} - bad
     rows = [(r.doc_id, r.text) for r in good.collect()]
     one = p.keep_one_of_each(spark, good, SF)
-    kept = {d for d, (_, _, k) in brute.components(rows).items() if k}
+    kept = {d for d, (_, _, k) in brute.components(rows, p.SIMILAR).items() if k}
     assert {r.doc_id for r in one.collect()} == kept
     left = [(d, t) for d, t in rows if d in kept]
     cut = p.cut_repeats(spark, common.stage(one, "one"), SF)
