@@ -170,12 +170,22 @@ def next_items(items: DataFrame, n: int, batch_col: str = "batch_id", pos_col: s
 
 
 # --- summaries -----------------------------------------------------------------
-def completion_summary(items: DataFrame, images: DataFrame | None = None, batch_col: str = "batch_id") -> DataFrame:
+def completion_summary(items: DataFrame, images: DataFrame | None = None, batch_col: str = "batch_id",
+                       batches: DataFrame | None = None) -> DataFrame:
     """AGG-1: total, success, failed, skipped, duration and image counts per batch.
 
     ``items``: batch_col, outcome ('success'|'failed'|'skipped'), started_at;
-    ``images``: batch_col, ok.  Partial aggregation runs before the shuffle.
+    ``images``: batch_col, ok; ``batches``: batch_col, created_at, completed_at, one row a batch.  The duration is completion
+    minus creation, 0 for a batch without both; without ``batches`` it is estimated by the first and last start.
+    Partial aggregation runs before the shuffle.
     """
+    if batches is not None:
+        spent = F.unix_millis(F.col("completed_at").cast("timestamp")) - F.unix_millis(F.col("created_at").cast("timestamp"))
+        spans = batches.groupBy(batch_col).agg(F.max(spent).alias("_spent"))
+        out = completion_summary(items, images, batch_col)
+        return out.join(spans, batch_col, "left").select(
+            *[F.coalesce("_spent", F.lit(0)).cast("long").alias(c) if c == "duration_ms" else F.col(c) for c in out.columns])
+
     it = items.groupBy(batch_col).agg(
         F.count("*").alias("total_tenders"),
         F.count_if(F.col("outcome") == "success").alias("success_count"),
@@ -251,57 +261,132 @@ def check_batch_states(df: DataFrame) -> DataFrame:
     return df.withColumn("errors", errs).withColumn("valid", F.size("errors") == 0)
 
 
-def _num(v: Column, path: str) -> Column:
-    """JSON number at ``path`` (not a numeric string), as double; else NULL."""
-    x = F.try_variant_get(v, path, "variant")
-    t = F.schema_of_variant(x)
-    isnum = t.startswith("BIGINT") | t.startswith("DECIMAL") | t.startswith("DOUBLE") | t.startswith("INT") | t.startswith("FLOAT")
-    return F.when(x.isNotNull() & isnum, F.try_variant_get(x, "$", "double"))
+# The rules for a stored state as data: (path, what it must be, message).  Fixed values, in the order they are reported.
+STATE_RULES: list[tuple[str, str, str]] = [
+    ("batchId", "string?", "batchId must be a string or null."),
+    ("pageNumber", "positive?", "pageNumber must be a positive integer or null."),
+    ("pageUrl", "string?", "pageUrl must be a string or null."),
+    ("createdAt", "string?", "createdAt must be a string or null."),
+    ("updatedAt", "string?", "updatedAt must be a string or null."),
+    ("currentTenderIndex", "count", "currentTenderIndex must be a non-negative integer."),
+    ("totalTenders", "count", "totalTenders must be a non-negative integer."),
+    ("processedCount", "count", "processedCount must be a non-negative integer."),
+    ("successCount", "count", "successCount must be a non-negative integer."),
+    ("failedCount", "count", "failedCount must be a non-negative integer."),
+    ("skippedCount", "count", "skippedCount must be a non-negative integer."),
+    ("batchStatus", "status", "batchStatus must be one of: Idle, Processing, Completed, Failed."),
+    ("tenders", "array", "tenders must be an array."),
+    ("retryConfig.maxRetries", "positive-if-there", "retryConfig.maxRetries must be a positive integer."),
+    ("retryConfig.baseDelayMs", "count-if-there", "retryConfig.baseDelayMs must be a non-negative integer."),
+    ("retryConfig", "object-if-there", "retryConfig must be an object or null."),
+    ("completionSummary", "object?", "completionSummary must be an object or null."),
+]
+NOT_AN_OBJECT = "State must be an object."
+
+
+def _fields(df: DataFrame, raw_col: str, paths: list[str]) -> DataFrame:
+    """Add ``_root`` and ``_f``: the JSON text of the document and of each path, read once; null where there is none.
+
+    The text tells the kind: it starts with a quote, a bracket, a brace, a digit or a sign, or is true, false, null.
+    """
+    df = df.withColumn("_json", F.try_parse_json(F.col(raw_col)))
+    text = lambda p: F.to_json(F.try_variant_get("_json", p, "variant")).alias(p.replace("$.", "").replace(".", "__") or "root")
+    return df.withColumn("_f", F.struct(F.to_json("_json").alias("root"), *[text(f"$.{p}") for p in paths])).drop("_json")
 
 
-def _str(v: Column, path: str) -> Column:
-    x = F.try_variant_get(v, path, "variant")
-    return F.when(x.isNotNull() & (F.schema_of_variant(x) == "STRING"), F.try_variant_get(x, "$", "string"))
+def _field(path: str) -> Column:
+    return F.col("_f")[path.replace(".", "__")]
 
 
-def recover_batch_states(df: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """SC-21: lenient recovery of stored batch states from JSON text.
+def _is_number(t: Column) -> Column:
+    return t.rlike("^[-0-9]")
+
+
+def check_raw_states(df: DataFrame, raw_col: str = "raw", observe: str | None = None) -> DataFrame:
+    """FLT-15 on stored JSON: ``errors`` (messages in the order of STATE_RULES) and ``valid`` per row.
 
-    Every field falls back to its default on its own; decimals are
-    truncated; the item count comes from the ``tenders`` array and is
-    overridden by a valid ``totalTenders``; an index past the item count
-    becomes 0.  Never fails on bad input.
+    Missing fields are errors where a value must be there, as are values of another kind.  With ``observe`` the number
+    of rows, of invalid ones and of each rule's failures are reported as metrics of that name by the same pass.
     """
-    df, v = df.withColumn("_json", F.try_parse_json(F.col(raw_col))), F.col("_json")  # parsed once
-    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    df = _fields(df, raw_col, [p for p, _, _ in STATE_RULES])
+
+    def broken(path: str, kind: str) -> Column:
+        t = _field(path)
+        absent, null, n = t.isNull(), t == "null", t.cast("double")
+        statuses = [f'"{s}"' for s in P.BATCH_STATUSES]
+        scalar = ~F.coalesce(_field("retryConfig").rlike("^[\\[{]"), F.lit(False))
+        rules = {
+            "string?": absent | ~(null | t.startswith('"')),
+            "positive?": absent | ~(null | (_is_number(t) & (n >= 1))),
+            "count": absent | ~(_is_number(t) & (n >= 0)),
+            "status": absent | ~t.isin(*statuses),
+            "array": absent | ~t.startswith("["),
+            "object?": absent | ~(null | t.rlike("^[\\[{]")),
+            "positive-if-there": ~scalar & t.isNotNull() & ~(_is_number(t) & (n >= 1)),
+            "count-if-there": ~scalar & t.isNotNull() & ~(_is_number(t) & (n >= 0)),
+            "object-if-there": scalar & t.isNotNull() & ~null,
+        }
+        return F.coalesce(rules[kind], F.lit(False))
+
+    root = F.col("_f.root")
+    is_obj = F.coalesce(root.startswith("{"), F.lit(False))
+    is_list = F.coalesce(root.startswith("["), F.lit(False))  # a list is an object without any of the fields
+    found = [F.when(broken(path, kind), F.lit(message)) for path, kind, message in STATE_RULES]
+    errs = F.when(is_obj | is_list, F.filter(F.array(*found), lambda x: x.isNotNull())).otherwise(F.array(F.lit(NOT_AN_OBJECT)))
+    out = df.withColumn("errors", errs).drop("_f").withColumn("valid", F.size("errors") == 0)
+    if observe:
+        counts = [F.count_if(F.array_contains("errors", m)).alias(f"rule_{i}") for i, (_, _, m) in enumerate(STATE_RULES, start=1)]
+        out = out.observe(observe, F.count("*").alias("rows"), F.count_if(~F.col("valid")).alias("invalid"), *counts)
+    return out
 
-    def trunc_nonneg(path: str) -> Column:
-        n = _num(v, path)
-        return F.when(is_obj & (n >= 0), n.try_cast("bigint")).otherwise(F.lit(0)).cast("long")
 
-    tenders_n = F.when(
-        is_obj & F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.tenders", "variant")).startswith("ARRAY"), F.lit(False)),
-        F.size(F.try_variant_get(v, "$.tenders", "array<variant>")),
-    )
-    total_raw = _num(v, "$.totalTenders")
-    total = F.when(is_obj & (total_raw >= 0), total_raw.try_cast("bigint")).otherwise(F.coalesce(tenders_n, F.lit(0))).cast("long")
-    idx = trunc_nonneg("$.currentTenderIndex")
-    page = _num(v, "$.pageNumber")
-    status = _str(v, "$.batchStatus")
-    mr = _num(v, "$.retryConfig.maxRetries")
-    bd = _num(v, "$.retryConfig.baseDelayMs")
+def recover_batch_states(df: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """SC-21: lenient recovery of stored batch states from JSON text.
+
+    Every field falls back to its default on its own; decimals are truncated; the item count comes from the
+    ``tenders`` array and is overridden by a valid ``totalTenders``; an index past the item count becomes 0.  A number
+    beyond 64 bits counts as no number.  Never fails on bad input.  Each field is read from the document once.
+    """
+    counts = ["totalTenders", "currentTenderIndex", "processedCount", "successCount", "failedCount", "skippedCount"]
+    summary = ["totalTenders", "successCount", "failedCount", "skippedCount", "durationMs"]
+    paths = ["batchId", "pageNumber", "pageUrl", "createdAt", "updatedAt", "batchStatus", "tenders", *counts, "retryConfig.maxRetries",
+             "retryConfig.baseDelayMs", "completionSummary", "completionSummary.completedAt", *[f"completionSummary.{c}" for c in summary]]
+    keep = df.columns
+    df = _fields(df, raw_col, paths)
+    is_obj = F.coalesce(F.col("_f.root").startswith("{"), F.lit(False))
+
+    def number(path: str, least: int | None = 0) -> Column:
+        """The number at ``path``, truncated; null if it is none, too small or too large."""
+        t = _field(path)
+        n = F.when(is_obj & _is_number(t), t.try_cast("double"))
+        n = n if least is None else F.when(n >= least, n)
+        return F.when(F.abs(n) < 2.0**63, n.cast("bigint"))
+
+    def string(path: str) -> Column:
+        t = _field(path)
+        return F.when(is_obj & t.startswith('"'), F.try_variant_get(F.try_parse_json(t), "$", "string"))
+
+    items = F.when(is_obj & _field("tenders").startswith("["), F.json_array_length(_field("tenders")))
+    status = string("batchStatus")
+    page = number("pageNumber", None)
+    raw_page = F.when(is_obj & _is_number(_field("pageNumber")), _field("pageNumber").try_cast("double"))
+    index = F.coalesce(number("currentTenderIndex"), F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    done = F.struct(string("completionSummary.completedAt").alias("completed_at"), *[
+        F.coalesce(number(f"completionSummary.{c}", None), zero).alias(name)
+        for c, name in zip(summary, ["total_tenders", "success_count", "failed_count", "skipped_count", "duration_ms"], strict=True)])
     return df.select(
-        *[c for c in df.columns if c != "_json"],
-        F.when(is_obj, _str(v, "$.batchId")).alias("batch_id"),
-        F.when(is_obj & (page > 0), page.try_cast("bigint")).alias("page_number"),
-        F.when(is_obj, _str(v, "$.pageUrl")).alias("page_url"),
-        F.when(F.coalesce(idx > F.coalesce(tenders_n, F.lit(0)), F.lit(False)), F.lit(0)).otherwise(idx).cast("long").alias("current_index"),
-        total.alias("total_tenders"),
-        trunc_nonneg("$.processedCount").alias("processed_count"),
-        trunc_nonneg("$.successCount").alias("success_count"),
-        trunc_nonneg("$.failedCount").alias("failed_count"),
-        trunc_nonneg("$.skippedCount").alias("skipped_count"),
-        F.when(is_obj & status.isin(*P.BATCH_STATUSES), status).otherwise(F.lit("Idle")).alias("batch_status"),
-        F.when(is_obj & (mr >= 1), mr.try_cast("bigint")).otherwise(F.lit(P.RETRY_MAX_DEFAULT)).cast("long").alias("max_retries"),
-        F.when(is_obj & (bd >= 0), bd.try_cast("bigint")).otherwise(F.lit(P.RETRY_BASE_DELAY_MS)).cast("long").alias("base_delay_ms"),
+        *keep,
+        string("batchId").alias("batch_id"),
+        F.when(raw_page > 0, page).alias("page_number"),
+        string("pageUrl").alias("page_url"),
+        F.when(index > F.coalesce(items, F.lit(0)), zero).otherwise(index).alias("current_index"),
+        F.coalesce(number("totalTenders"), items.cast("long"), zero).alias("total_tenders"),
+        *[F.coalesce(number(c), zero).alias(name) for c, name in (
+            ("processedCount", "processed_count"), ("successCount", "success_count"), ("failedCount", "failed_count"), ("skippedCount", "skipped_count"))],
+        F.when(status.isin(*P.BATCH_STATUSES), status).otherwise(F.lit("Idle")).alias("batch_status"),
+        F.coalesce(number("retryConfig.maxRetries", 1), F.lit(P.RETRY_MAX_DEFAULT).cast("long")).alias("max_retries"),
+        F.coalesce(number("retryConfig.baseDelayMs"), F.lit(P.RETRY_BASE_DELAY_MS).cast("long")).alias("base_delay_ms"),
+        string("createdAt").alias("created_at"), string("updatedAt").alias("updated_at"),
+        F.when(is_obj & _field("completionSummary").rlike("^[\\[{]"), done).alias("completion_summary"),
     )

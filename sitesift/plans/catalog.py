@@ -198,6 +198,33 @@ def q_merged_records(spark, sf):
     )
 
 
+def q_pipeline_documents(spark, sf):
+    """SRC-1 -> FLT-3 -> SRC-3 -> EXT-17 -> JN-1/JN-6 as of a time -> SNK-1: captures to documents, failures kept.
+
+    Even orders are listed half a day after the first capture, odd ones two days after, every 9th half a day before.
+    """
+    configure(spark)
+    f = synth.order_facts(spark, sf)
+    k = F.col("k")
+    start = F.lit(1704110400)
+    listing = f.select(
+        k.alias("listing_position"), F.col("title").alias("original_listing_title"), F.col("v_location").alias("city"), F.col("v_date_posted").alias("date_posted"),
+        F.format_string(f"https://{HOST}/order_tenders-%d.html", k).alias("detail_url"), F.lit(1).alias("page_number"),
+        F.timestamp_seconds(F.when(k % 9 == 0, start - 43200).when(k % 2 == 0, start + 43200).otherwise(start + 172800)).alias("as_of"),
+    )
+    merged = jobs.process_captures(to_records(listing), synth.captured_pages(spark, sf))
+    return merged.select("tender_id", "outcome_code", "download_status", "failure_reason", "fetch_attempts", "category", "newspaper", "last_date", "title",
+                         document_text().isNotNull().alias("has_document"))
+
+
+def q_page_outcomes(spark, sf):
+    """SRC-3 + EXT-17: one outcome row for every capture, whatever became of its parse."""
+    p = _t(spark, sf, "pages")
+    pid = F.col("page_id")
+    html = F.when(pid % 17 == 0, F.lit(None).cast("string")).when(pid % 17 == 1, F.lit("")).when(pid % 17 == 2, F.lit(" \n ")).when(pid % 17 == 3, F.lit("<![x[ y ]]>z")).otherwise(F.col("html"))
+    return jobs.parse_outcomes(p.select("page_id", html.alias("html"))).select("page_id", "code", (F.col("n_elements") > 0).alias("has_nodes"))
+
+
 def q_documents_txt(spark, sf):
     configure(spark)
     return render_documents(_merged(spark, sf))
@@ -291,7 +318,11 @@ def _batch_items(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def q_batch_summary(spark, sf):
     it, im = _batch_items(_t(spark, sf, "events"))
-    return B.completion_summary(it, im)
+    # created a minute before the first start, completed 30 s after the last; every 5th day has no creation time
+    first, last = F.min("started_at").cast("timestamp"), F.max("started_at").cast("timestamp")
+    batches = it.groupBy("batch_id").agg(
+        F.when(F.dayofmonth(first) % 5 != 0, first - F.expr("INTERVAL 60 SECONDS")).alias("created_at"), (last + F.expr("INTERVAL 30 SECONDS")).alias("completed_at"))
+    return B.completion_summary(it, im, batches=batches)
 
 
 def q_image_outcomes(spark, sf):
@@ -371,6 +402,21 @@ def q_stream_progress(spark, sf):
     return stream_progress_from_events(spark, _t(spark, sf, "events"))
 
 
+def q_stream_details(spark, sf):
+    """STR-1 + STR-6: pages as a file stream through the extraction, outputs committed by micro-batch."""
+    from ..streaming.stream import stream_details_from_pages
+
+    out = stream_details_from_pages(spark, _t(spark, sf, "pages"))
+    return out.select("page_id", "title", "code")
+
+
+def q_stream_first_completion(spark, sf):
+    """STR-5: the streaming form of attempt_timeouts: chained interval join and first completion per start."""
+    from ..streaming.stream import first_completions_from_events
+
+    return first_completions_from_events(spark, _t(spark, sf, "events"), 1800)
+
+
 def _raw_listing(spark, sf) -> DataFrame:
     """Raw listing rows from orders, every 9th with an invalid link and every 13th without a title."""
     f = synth.order_facts(spark, sf)
@@ -432,6 +478,8 @@ QUERIES = {
     "listing_pages": q_listing_pages,
     "merged_records": q_merged_records,
     "documents_txt": q_documents_txt,
+    "pipeline_documents": q_pipeline_documents,
+    "page_outcomes": q_page_outcomes,
     "folder_names": q_folder_names,
     "history_skip": q_history_skip,
     "in_batch_repeats": q_in_batch_repeats,
@@ -448,4 +496,6 @@ QUERIES = {
     "next_items": q_next_items,
     "stream_history": q_stream_history,
     "stream_progress": q_stream_progress,
+    "stream_details": q_stream_details,
+    "stream_first_completion": q_stream_first_completion,
 }

@@ -13,6 +13,7 @@ from ..functions.naming import status_code
 from ..functions.urls import normalize_url, redirect_ok, validate_detail_url
 from ..operators.detail import main_content, marked_nodes, page_title, parse_details
 from ..operators.listing import extract_listings
+from ..operators.records import capture_as_of, merge_listing_detail
 from ..operators.tree import inside, is_element, page_texts, subtree_stats, text_at, with_running_counts
 from ..session import configure, materialize
 from ..sources.html_nodes import CODE_FAILED, CODE_INVALID, explode_nodes
@@ -130,3 +131,33 @@ def listings_job(captures: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE
     configure(captures.sparkSession)
     nodes = explode_nodes(captures.select("page_id", "html"))
     return extract_listings(nodes, captures.select("page_id", "url"), profile)
+
+
+def process_captures(records: DataFrame, captures: DataFrame, profile: P.SiteProfile = P.DEFAULT_PROFILE, at: str = "as_of") -> DataFrame:
+    """The page pipeline: gate -> parse -> details -> merge as of a time, one row per record of ``to_records``.
+
+    ``records`` also carry ``at``; ``captures``: page_id (one a capture), url, final_url, status, content_type, html,
+    captured_at.  A record takes the newest capture of its URL's id not after ``at``: merged if it passed the gate and
+    parsed, else 'Parse Failed' with the outcome's message as the reason and one attempt; without a capture it stays
+    pending.  Adds ``outcome_code`` (null: no capture).  Rejected captures are never parsed.
+    """
+    configure(captures.sparkSession)
+    gated = gate_captures(captures, profile=profile).withColumn("tender_id", validate_detail_url(F.col("url"), profile)["tender_id"])
+    good = gated.filter("outcome_code = 'OK'").select("page_id", F.col("final_url").alias("url"), "html")
+    parsed = parse_details(explode_nodes(good.select("page_id", "html")), good.select("page_id", "url"), profile)
+    seen = gated.select("page_id", "tender_id", "captured_at", "outcome_code", F.col("message").alias("_said"))
+    details = seen.join(parsed, "page_id", "left").withColumn("outcome_code", F.when(F.col("outcome_code") == "OK", F.col("code")).otherwise(F.col("outcome_code")))
+    # one outcome for each id and time: a good capture before a bad one of the same time
+    rank = F.when(F.col("outcome_code") == "OK", 0).otherwise(1)
+    outcome = F.struct(rank.alias("rank"), "page_id", "outcome_code", F.coalesce("message", "_said").alias("reason"))
+    outcomes = details.filter("tender_id is not null").groupBy("tender_id", "captured_at").agg(F.min(outcome).alias("o"))
+    found = details.filter("outcome_code = 'OK'").withColumn("parser_tender_id", F.col("tender_id")).drop("page_id", "outcome_code", "code", "message", "_said", "truncated", "title")
+    dated = capture_as_of(records, seen, at).join(
+        materialize(outcomes, "outcomes", "tender_id").select("tender_id", "captured_at", "o.outcome_code", "o.reason"), ["tender_id", "captured_at"], "left")
+    merged = merge_listing_detail(dated, found, on=["tender_id", "captured_at"])
+    bad = F.coalesce(F.col("outcome_code") != "OK", F.lit(False))
+    return merged.withColumns({
+        "download_status": F.when(bad, F.lit(P.STATUS_PARSE_FAILED)).otherwise(F.col("download_status")),
+        "failure_reason": F.when(bad, F.col("reason")).otherwise(F.col("failure_reason")),
+        "fetch_attempts": F.when(bad, F.lit(1)).otherwise(F.col("fetch_attempts")),
+    }).drop("reason")

@@ -192,6 +192,30 @@ def images_sql() -> str:
     """
 
 
+def _pipeline_sql() -> str:
+    """What each order's newest capture not after its listing gives: k % 13 names the first capture's fault."""
+    codes = {0: "HTTP_ERROR", 1: "EMPTY_HTML", 2: "UNEXPECTED_REDIRECT", 3: "UNEXPECTED_CONTENT_TYPE", 4: "ACCESS_RESTRICTED", 5: "HTML_PARSE_FAILED", 6: "EMPTY_HTML"}
+    said = {
+        "HTTP_ERROR": "The server returned an error response.", "EMPTY_HTML": "The response contained no content.",
+        "UNEXPECTED_REDIRECT": "The tender URL redirected to an unexpected page.", "UNEXPECTED_CONTENT_TYPE": "The response was not HTML.",
+        "ACCESS_RESTRICTED": "The tender page could not be accessed normally.", "HTML_PARSE_FAILED": "Failed to parse the tender HTML.",
+    }
+    code = " ".join(f"WHEN {m} THEN '{c}'" for m, c in codes.items())
+    reason = " ".join(f"WHEN '{c}' THEN '{m}'" for c, m in said.items())
+    return f"""
+      WITH t AS (SELECT *, CASE WHEN k % 9 = 0 THEN 0 ELSE 1 END AS seen, k % 9 <> 0 AND k % 2 = 1 AND k % 3 = 0 AS late FROM ({FACTS}) WHERE k >= 1),
+      o AS (SELECT *, CASE WHEN seen = 0 THEN NULL WHEN late THEN 'OK' WHEN k % 13 = 7 THEN NULL
+                           ELSE coalesce(CASE k % 13 {code} END, 'OK') END AS outcome_code FROM t)
+      SELECT CAST(k AS VARCHAR) AS tender_id, outcome_code,
+        CASE WHEN outcome_code = 'OK' THEN 'Parsed - Download Pending' WHEN outcome_code IS NULL THEN 'Pending' ELSE 'Parse Failed' END AS download_status,
+        CASE outcome_code {reason} END AS failure_reason, CASE WHEN outcome_code IS NULL THEN 0 ELSE 1 END AS fetch_attempts,
+        CASE WHEN outcome_code = 'OK' THEN v_category ELSE 'Not available' END AS category,
+        CASE WHEN outcome_code = 'OK' THEN CASE WHEN late THEN 'Late ' ELSE '' END || v_newspaper ELSE 'Not available' END AS newspaper,
+        CASE WHEN outcome_code = 'OK' THEN v_last_date ELSE 'Not available' END AS last_date, title, true AS has_document
+      FROM o
+    """
+
+
 def _state_checks_sql() -> str:
     rows = """
       SELECT event_id,
@@ -356,7 +380,8 @@ def oracle_sql() -> dict[str, str]:
                    count(*) FILTER (WHERE outcome = 'success') AS success_count,
                    count(*) FILTER (WHERE outcome = 'failed') AS failed_count,
                    count(*) FILTER (WHERE outcome = 'skipped') AS skipped_count,
-                   CAST((epoch_us(max(started_at)) - epoch_us(min(started_at))) // 1000 AS BIGINT) AS duration_ms
+                   CAST(CASE WHEN day(min(started_at)) % 5 = 0 THEN 0
+                        ELSE epoch_ms(max(started_at)) + 30000 - epoch_ms(min(started_at)) + 60000 END AS BIGINT) AS duration_ms
             FROM i GROUP BY batch_id),
       b AS (SELECT batch_id, count(*) AS image_total, count(*) FILTER (WHERE ok) AS image_downloaded,
                    count(*) FILTER (WHERE NOT ok) AS image_failed FROM im GROUP BY batch_id)
@@ -423,6 +448,12 @@ def oracle_sql() -> dict[str, str]:
           SELECT tender_id, listing_position, title, folder_name, category, province, location, description,
                  download_status, fetch_attempts, n_images, warnings_text FROM ({merged_sql()})""",
         "documents_txt": documents_sql(),
+        "pipeline_documents": _pipeline_sql(),
+        "stream_details": f"SELECT page_id, {_title_sql()} AS title, 'OK' AS code FROM pages",
+        "stream_first_completion": timeouts,
+        "page_outcomes": """
+          SELECT page_id, CASE page_id % 17 WHEN 0 THEN 'INVALID_HTML' WHEN 1 THEN 'HTML_PARSE_FAILED' WHEN 2 THEN 'NO_TENDER_CONTENT'
+                   WHEN 3 THEN 'HTML_PARSE_FAILED' ELSE 'OK' END AS code, page_id % 17 > 3 AS has_nodes FROM pages""",
         "folder_names": folder_names_sql(),
         "history_skip": f"""
           SELECT i.event_id, i.tender_id, CASE WHEN h.tender_id IS NULL THEN 'todo' ELSE 'skip' END AS action

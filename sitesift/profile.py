@@ -93,8 +93,6 @@ ROW_SELECTORS = [
 ]
 HEADER_ROW_SELECTORS = ["tr th", "tr.header", "thead tr", "div.row_container .bold"]
 HEADER_WORDS = ["title", "city", "date", "location", "posted"]
-TITLE_SELECTORS = ['a[href*="_tenders-"]', 'a[href*="tenders"]', "a.tender-title",
-                   "td:first-child a", "div.cell31 a", "a"]
 CITY_SELECTORS = ["td:nth-child(2)", "td.city", "span.city", "div.city", ".tender-city",
                   ".location", "td:nth-child(3)", "div.cell32"]
 DATE_SELECTORS = ["td:nth-child(3)", "td.date", "span.date", "div.date", ".tender-date",

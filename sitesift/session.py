@@ -53,7 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; it is read
-    from the session.  Where it is unset (tests, bench) a folder in the warehouse, which is shared too, is used.
+    from the session.  Where it is unset, a local session (tests, bench) uses a folder in its warehouse; on a cluster
+    that folder may be one machine's own, so it is an error.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -63,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     return sc.getCheckpointDir()
 
