@@ -17,10 +17,12 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` as the session names it, else the checkpoint folder set on the context,
-    else a folder in the warehouse.  Never a machine-local temporary folder.
+    ``spark.checkpoint.dir`` as the session names it, else the checkpoint folder set on the context, else, in a local
+    session only, a folder in the warehouse.  Never a machine-local folder on a cluster: without a name that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stage").rstrip("/")
 
 
