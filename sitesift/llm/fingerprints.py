@@ -120,15 +120,17 @@ def fingerprint_edits(docs: DataFrame, text: str = "text") -> DataFrame:
     returned with an edit that only cuts, and near_next 0 (1 if they have no words).  A single document is its
     own neighbour.  An empty table gives no row; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # no cast of what is long already: it would leave an alias on one of the two uses, and the exchange would be made twice
+    key = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     ring = neighbours(rows.select("doc_id", "n_chars"))
     # the one exchange of texts: both uses below have the same columns before it, so it is made once
     dealt = rows.filter("doc_id is not null").repartition(shuffle_parts(docs.sparkSession), "doc_id")
     dealt = dealt.withColumn("lead", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) == 1)
     linked = dealt.join(ring, F.col("doc_id") == F.col("id")).drop("id")
-    sent = linked.filter(F.col("lead") & (F.col("n_chars") >= 0)).select(
-        F.col("before_id").alias("sent_to"), F.expr("substring(text, 1, int(before_take))").alias("tail"))
+    piece = F.when(F.col("n_chars") > 0, F.expr("substring(text, 1, int(before_take))")).otherwise("")
+    sent = linked.filter("lead").select(F.col("before_id").alias("sent_to"), piece.alias("tail"))
     both = linked.join(sent, F.col("doc_id") == F.col("sent_to"), "left").select("doc_id", "text", "n_chars", "lead", "next_id", "tail")
     none = rows.filter("doc_id is null").select("doc_id", "text", "n_chars", F.lit(False).alias("lead"), F.lit(None).cast("long").alias("next_id"), F.lit("").alias("tail"))
     take = F.floor(F.col("n_chars") / 3)
