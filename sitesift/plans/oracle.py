@@ -381,7 +381,7 @@ def oracle_sql() -> dict[str, str]:
                    count(*) FILTER (WHERE outcome = 'failed') AS failed_count,
                    count(*) FILTER (WHERE outcome = 'skipped') AS skipped_count,
                    CAST(CASE WHEN day(min(started_at)) % 5 = 0 THEN 0
-                        ELSE epoch_ms(max(started_at)) + 30000 - epoch_ms(min(started_at)) + 60000 END AS BIGINT) AS duration_ms
+                        ELSE epoch_us(max(started_at)) // 1000 + 30000 - epoch_us(min(started_at)) // 1000 + 60000 END AS BIGINT) AS duration_ms
             FROM i GROUP BY batch_id),
       b AS (SELECT batch_id, count(*) AS image_total, count(*) FILTER (WHERE ok) AS image_downloaded,
                    count(*) FILTER (WHERE NOT ok) AS image_failed FROM im GROUP BY batch_id)
