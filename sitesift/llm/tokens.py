@@ -7,10 +7,14 @@ encodes what the memo does not have.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
+import numpy as np
+import regex
+
 # Texts whose white space is not all ASCII, and texts holding a special string, go to the library whole.
 OTHER_SPACE = re.compile(
     rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
@@ -78,10 +82,95 @@ def packed_ids(path: str, chunks: list[bytes]) -> list[bytes]:
     return [array("I", ids).tobytes() for ids in encode_all(path, [c.decode("utf-8", "replace") for c in chunks])]
 
 
+class Pieces:
+    """How a vocabulary with word ends cuts a chunk into pre-tokens, as its file states it.
+
+    ``find`` is its pre-token pattern, ``lower`` whether it lower-cases first, ``ends`` which ids end a pre-token.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix, vocab = spec["model"].get("end_of_word_suffix"), spec["model"]["vocab"]
+        split = [x for x in parts_of(spec["pre_tokenizer"], "pretokenizers") if x["type"] == "Split"]
+        self.usable = bool(suffix) and len(split) == 1 and "Regex" in split[0]["pattern"] and split[0]["behavior"] == "Removed" and split[0]["invert"]
+        if self.usable:
+            self.find = regex.compile(split[0]["pattern"]["Regex"]).findall
+            self.lower = any(x["type"] == "Lowercase" for x in parts_of(spec["normalizer"], "normalizers"))
+            self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
+            self.ends = np.zeros(max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def cut(self, text: str) -> list[str] | None:
+        """The chunk's pre-tokens; None where only the library may cut: beyond printable ASCII, or a special string."""
+        if not (text.isascii() and text.isprintable()) or self.special(text):
+            return None
+        return self.find(text.lower() if self.lower else text)
+
+
+def parts_of(step: dict | None, name: str) -> list[dict]:
+    return [] if step is None else step.get(name, [step])
+
+
+_pieces: dict[str, Pieces] = {}
+JOINED = 1_000  # pre-tokens that the library encodes in one text
+PIECE_ROWS = 300_000
+MARK = "\x01"
+
+
+def joined_ids(path: str, pieces: Pieces, parts: list[str]) -> list[bytes]:
+    """Packed ids of each pre-token: encoded many at once, with a space between, and cut after each id that ends one."""
+    out = []
+    for i in range(0, len(parts), JOINED):
+        part = parts[i : i + JOINED]
+        ids = np.array(encode_all(path, [" ".join(part)])[0], "<u4")
+        stops = (4 * (np.flatnonzero(pieces.ends[ids]) + 1)).tolist()
+        if len(stops) != len(part):  # not one end each: the library takes them one by one
+            out += packed_ids(path, [p.encode() for p in part])
+            continue
+        data = ids.tobytes()
+        out += [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+    return out
+
+
+def marked_ids(path: str, pieces: Pieces, chunks: list[str]) -> list[bytes]:
+    """Packed ids of each chunk: encoded many at once, with MARK between, which is a pre-token and an id of its own."""
+    mark = encode_all(path, [MARK])[0]
+    if len(mark) != 1 or not pieces.ends[mark[0]]:
+        return packed_ids(path, [c.encode() for c in chunks])
+    out = []
+    for i in range(0, len(chunks), JOINED):
+        part = chunks[i : i + JOINED]
+        ids = np.array(encode_all(path, [f" {MARK} ".join(part)])[0], "<u4")
+        data, at = ids.tobytes(), (4 * np.flatnonzero(ids == mark[0])).tolist()
+        out += [data[a:b] for a, b in zip([0, *(x + 4 for x in at)], [*at, len(data)], strict=True)]
+    return out
+
+
+def chunk_ids(path: str, chunks: list[bytes]) -> list[bytes]:
+    """Packed ids of each chunk.
+
+    Printable ASCII goes by its pre-tokens, which recur more often than chunks and are remembered.  Other chunks are
+    encoded many at once; those that hold a special string or MARK alone.
+    """
+    if path not in _pieces:
+        _pieces[path] = Pieces(path)
+    pieces = _pieces[path]
+    if not pieces.usable:
+        return packed_ids(path, chunks)
+    texts = [c.decode("utf-8", "replace") for c in chunks]
+    cut = [pieces.cut(t) for t in texts]
+    known = fill(memo("piece", path, rows=PIECE_ROWS), [row for row in cut if row is not None], lambda p: joined_ids(path, pieces, p))
+    alone = [row is None and (MARK in t or pieces.special(t) is not None) for t, row in zip(texts, cut, strict=True)]
+    others = iter(marked_ids(path, pieces, [t for t, row, x in zip(texts, cut, alone, strict=True) if row is None and not x]))
+    single = iter(packed_ids(path, [c for c, x in zip(chunks, alone, strict=True) if x]))
+    return [b"".join(map(known.__getitem__, row)) if row is not None else next(single if x else others) for row, x in zip(cut, alone, strict=True)]
+
+
 def word_ids(path: str, texts: list[bytes]) -> list[bytes]:
     """Packed ids of each text, for a vocabulary that drops white space (every ASCII space is a split)."""
     rows = [t.split() for t in texts]
-    known = fill(memo("word", path), rows, lambda c: packed_ids(path, c))
+    known = fill(memo("word", path), rows, lambda c: chunk_ids(path, c))
     return [b"".join(map(known.__getitem__, row)) for row in rows]
 
 
