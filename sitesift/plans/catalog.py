@@ -19,7 +19,9 @@ from ..functions.urls import normalize_url, url_parts, validate_detail_url
 from ..operators import batch as B
 from ..operators.records import merge_listing_detail, to_records
 from ..session import configure
+from ..sources.files import read_files, write_files
 from ..sources.sinks import document_text, image_manifest, render_documents
+from ..streaming.stream import scratch_dir
 from . import jobs, synth
 
 HOST = synth.HOST
@@ -230,6 +232,13 @@ def q_documents_txt(spark, sf):
     return render_documents(_merged(spark, sf))
 
 
+def q_document_files(spark, sf):
+    """SNK-1: each document written as a file of its own, the files published and read back."""
+    configure(spark)
+    out = scratch_dir(spark, "documents")
+    return read_files(write_files(render_documents(_merged(spark, sf)), out), out)
+
+
 def q_folder_names(spark, sf):
     p = _t(spark, sf, "part")
     k = F.col("p_partkey")
@@ -478,6 +487,7 @@ QUERIES = {
     "listing_pages": q_listing_pages,
     "merged_records": q_merged_records,
     "documents_txt": q_documents_txt,
+    "document_files": q_document_files,
     "pipeline_documents": q_pipeline_documents,
     "page_outcomes": q_page_outcomes,
     "folder_names": q_folder_names,

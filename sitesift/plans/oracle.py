@@ -448,6 +448,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT tender_id, listing_position, title, folder_name, category, province, location, description,
                  download_status, fetch_attempts, n_images, warnings_text FROM ({merged_sql()})""",
         "documents_txt": documents_sql(),
+        "document_files": f"SELECT path, content FROM ({documents_sql()})",
         "pipeline_documents": _pipeline_sql(),
         "stream_details": f"SELECT page_id, {_title_sql()} AS title, 'OK' AS code FROM pages",
         "stream_first_completion": timeouts,
