@@ -1,11 +1,14 @@
 """Cost a row: work done once, spread over the tasks, and little left on disk."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from sitesift.functions.naming import safe_component
 from sitesift.functions.urls import validate_detail_url
 from sitesift.operators.records import to_records
 from sitesift.plans.catalog import QUERIES
+from sitesift.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +45,12 @@ def test_plain_and_odd_urls(spark):
     }
     df = spark.createDataFrame([(u,) for u in urls], "u string").select("u", validate_detail_url("u").alias("v"))
     assert {r.u: (r.v.canonical_url, r.v.tender_id) for r in df.collect()} == urls
+
+
+def test_staging_makes_no_folder_a_document(spark, tmp_path):
+    rows = [{"path": f"b/{i:03d}/Tender.txt", "content": f"text {i}"} for i in range(50)]
+    job = f"file://{tmp_path}/_jobs/j"
+    assert files.write_attempt(iter(rows), job, "a") == 50
+    assert sum(len(d) for _, d, _ in os.walk(tmp_path / "_jobs" / "j" / "a")) <= 2
+    assert sorted(files.publish_attempt(f"file://{tmp_path}", job, "a")) == [(r["path"], len(r["content"])) for r in rows]
+    assert (tmp_path / "b" / "007" / "Tender.txt").read_text() == "text 7"
