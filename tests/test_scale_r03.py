@@ -54,3 +54,7 @@ def test_staging_makes_no_folder_a_document(spark, tmp_path):
     assert sum(len(d) for _, d, _ in os.walk(tmp_path / "_jobs" / "j" / "a")) <= 2
     assert sorted(files.publish_attempt(f"file://{tmp_path}", job, "a")) == [(r["path"], len(r["content"])) for r in rows]
     assert (tmp_path / "b" / "007" / "Tender.txt").read_text() == "text 7"
+
+
+def test_long_methods_are_not_interpreted(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
