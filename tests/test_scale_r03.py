@@ -10,15 +10,15 @@ from sitesift.operators.records import to_records
 from sitesift.plans.catalog import QUERIES
 from sitesift.sources import files
 
-SF = "/root/testdata/sf0.001"
-
 
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_folder_names_spread_over_tasks(spark):
-    assert QUERIES["folder_names"](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+def test_folder_names_spread_over_tasks(spark, tmp_path):
+    parts = spark.range(40).select(F.col("id").alias("p_partkey"), F.format_string("part %d", "id").alias("p_name"), F.lit(3).alias("p_size"))
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert QUERIES["folder_names"](spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_safe_component_is_not_copied(spark):
