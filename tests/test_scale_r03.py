@@ -31,7 +31,7 @@ def test_records_judge_each_url_once(spark):
     base = spark.range(3).select(url)
     listing = base.select("*", *[F.lit("a").alias(c) for c in ("listing_position", "original_listing_title", "city", "date_posted", "page_number")])
     rule = r"_tenders-(\d"
-    once = plan_of(base.select(validate_detail_url("detail_url"))).count(rule)
+    once = plan_of(base.select(validate_detail_url("detail_url").alias("v"))).count(rule)
     assert plan_of(to_records(listing).select("tender_id", "detail_url")).count(rule) == once > 0
     assert [r.tender_id for r in to_records(listing).orderBy("tender_id").collect()] == ["1", "2"]  # 0 is no id
 
