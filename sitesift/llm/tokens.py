@@ -13,7 +13,9 @@ import re
 from array import array
 
 import numpy as np
-import regex
+import pyarrow as pa
+
+from .words import GAP, LOWER
 
 # Texts whose white space is not all ASCII, and texts holding a special string, go to the library whole.
 OTHER_SPACE = re.compile(
@@ -77,56 +79,141 @@ def fill(known: Memo, rows: list[list[bytes]], make) -> dict[bytes, object]:
     return known
 
 
+def looked_up(known: Memo, parts: list[bytes], make) -> list:
+    """The value of each of ``parts`` (all distinct); ``make(parts)`` gives those that ``known`` lacks, which it then holds."""
+    out = list(map(known.get, parts))
+    lacking = [i for i, x in enumerate(out) if x is None]
+    if lacking:
+        missing = [parts[i] for i in lacking]
+        known.room(len(missing))
+        for i, p, x in zip(lacking, missing, make(missing), strict=True):
+            out[i] = known[p] = x
+    return out
+
+
 def packed_ids(path: str, chunks: list[bytes]) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each chunk."""
     return [array("I", ids).tobytes() for ids in encode_all(path, [c.decode("utf-8", "replace") for c in chunks])]
 
 
+# What a vocabulary's file states where ``cut_texts`` cuts its pre-tokens.
+CUT_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CUT_SPLIT = [
+    {"type": "Split", "pattern": {"Regex": CUT_PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+# Kinds of bytes; OTHER ones (control characters, letters beyond Latin-1) leave their word whole.
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[33:127] = SIGN
+KIND[48:58] = DIGIT
+KIND[65:91] = KIND[97:123] = LETTER
+KIND[GAP] = SPACE
+LATIN = np.arange(256, dtype=np.uint8)  # lower case of the byte after 0xC3: all but sharp s
+LATIN[0x80:0x9F] += 32
+PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*").fullmatch
+
+
 class Pieces:
-    """How a vocabulary with word ends cuts a chunk into pre-tokens, as its file states it.
+    """How a vocabulary with word ends cuts words into pre-tokens, as its file states it.
 
-    ``find`` is its pre-token pattern, ``lower`` whether it lower-cases first, ``ends`` which ids end a pre-token.
+    ``usable`` tells whether ``cut_texts`` cuts them the same way, ``special`` finds its special strings, ``ends`` which
+    ids end a pre-token; ``merges`` is its model alone, for lower-case pre-tokens with spaces between.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         suffix, vocab = spec["model"].get("end_of_word_suffix"), spec["model"]["vocab"]
-        split = [x for x in parts_of(spec["pre_tokenizer"], "pretokenizers") if x["type"] == "Split"]
-        self.usable = bool(suffix) and len(split) == 1 and "Regex" in split[0]["pattern"] and split[0]["behavior"] == "Removed" and split[0]["invert"]
+        cuts = (parts_of(spec["normalizer"], "normalizers"), parts_of(spec["pre_tokenizer"], "pretokenizers"))
+        self.usable = bool(suffix) and cuts == (CUT_NORMALIZER, CUT_SPLIT)
         if self.usable:
-            self.find = regex.compile(split[0]["pattern"]["Regex"]).findall
-            self.lower = any(x["type"] == "Lowercase" for x in parts_of(spec["normalizer"], "normalizers"))
-            self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
+            self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in spec["added_tokens"]) or b"(?!)")
             self.ends = np.zeros(max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-
-    def cut(self, text: str) -> list[str] | None:
-        """The chunk's pre-tokens; None where only the library may cut: beyond printable ASCII, or a special string."""
-        if not (text.isascii() and text.isprintable()) or self.special(text):
-            return None
-        return self.find(text.lower() if self.lower else text)
+            split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, CUT_SPLIT[1]]}
+            bare = {"normalizer": None, "pre_tokenizer": split, "added_tokens": [], "truncation": None, "padding": None}
+            self.merges = Tokenizer.from_str(json.dumps(spec | bare))
 
 
 def parts_of(step: dict | None, name: str) -> list[dict]:
     return [] if step is None else step.get(name, [step])
 
 
+def cut_texts(texts: list[bytes], special: re.Pattern) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The pre-tokens of all texts in a row, lower-cased, and the number of the first of each text.
+
+    Cuts as CUT_PATTERN does.  Words that hold a special string or characters other than printable ASCII and Latin-1
+    letters stay whole and as they are.
+    """
+    joined = b"\n".join(texts) + b"\n"
+    raw = np.frombuffer(joined, np.uint8)
+    kind, low = KIND[raw], LOWER[raw]
+    at = np.flatnonzero(raw == 0xC3)
+    after = raw[at + 1]
+    letter = (after & 0xC0 == 0x80) & (after & 0xDF != 0x97)  # no letters: the signs for times and division
+    at, after = at[letter] + 1, after[letter]
+    kind[at - 1] = kind[at] = LETTER
+    low[at] = LATIN[after]
+    other = np.append(np.flatnonzero(kind == OTHER), np.array([m.start() for m in special.finditer(joined)], int))
+    if len(other):
+        gaps = np.flatnonzero(kind == SPACE)
+        word = np.unique(np.searchsorted(gaps, other))
+        edge = np.zeros(len(raw), np.int8)
+        edge[np.where(word > 0, gaps[word - 1] + 1, 0)] = 1
+        edge[gaps[word]] = -1
+        whole = np.cumsum(edge, dtype=np.int8).view(bool)
+        kind[whole] = OTHER
+        low[whole] = raw[whole]
+    inside = kind != SPACE
+    cut = kind == DIGIT
+    cut[0] = True
+    cut[1:] |= kind[1:] != kind[:-1]
+    cut &= inside
+    # an apostrophe that begins a pre-token takes s, t, m, d, re, ve or ll with it
+    at = np.flatnonzero(raw == 39)
+    at = at[cut[at] & (kind[at] == SIGN)]
+    at = at[kind[at + 1] == LETTER]
+    a, b = low[at + 1], low[at + 2]
+    one = np.isin(a, list(b"stmd"))
+    two = np.isin(a, list(b"rv")) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+    cut[at[one | two] + 1] = False
+    for rest in (at[one] + 2, at[two] + 3):
+        cut[rest] = inside[rest]
+    data = low[inside]
+    starts = np.append(np.flatnonzero(cut[inside]), len(data))
+    first = np.searchsorted(np.flatnonzero(cut), np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    buffers = [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, buffers), first
+
+
 _pieces: dict[str, Pieces] = {}
 JOINED = 1_000  # pre-tokens that the library encodes in one text
-PIECE_ROWS = 300_000
+PIECE_ROWS = 900_000
+LONG = 4 << 20  # bytes of a text from which it is cut block by block
+BLOCKS = re.compile(rb"(?s).{%d}\S*|.+" % LONG).findall  # each but the last ends with a word
 MARK = "\x01"
 
 
-def joined_ids(path: str, pieces: Pieces, parts: list[str]) -> list[bytes]:
+def pieces_of(path: str) -> Pieces:
+    if path not in _pieces:
+        _pieces[path] = Pieces(path)
+    return _pieces[path]
+
+
+def joined_ids(path: str, pieces: Pieces, parts: list[bytes]) -> list[bytes]:
     """Packed ids of each pre-token: encoded many at once, with a space between, and cut after each id that ends one."""
     out = []
     for i in range(0, len(parts), JOINED):
         part = parts[i : i + JOINED]
-        ids = np.array(encode_all(path, [" ".join(part)])[0], "<u4")
+        got = pieces.merges.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+        ids = np.array(got[0].ids, "<u4")
         stops = (4 * (np.flatnonzero(pieces.ends[ids]) + 1)).tolist()
         if len(stops) != len(part):  # not one end each: the library takes them one by one
-            out += packed_ids(path, [p.encode() for p in part])
+            out += packed_ids(path, part)
             continue
         data = ids.tobytes()
         out += [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
@@ -148,30 +235,53 @@ def marked_ids(path: str, pieces: Pieces, chunks: list[str]) -> list[bytes]:
 
 
 def chunk_ids(path: str, chunks: list[bytes]) -> list[bytes]:
-    """Packed ids of each chunk.
-
-    Printable ASCII goes by its pre-tokens, which recur more often than chunks and are remembered.  Other chunks are
-    encoded many at once; those that hold a special string or MARK alone.
-    """
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    pieces = _pieces[path]
+    """Packed ids of each word that is left whole: encoded many at once; those that hold a special string or MARK alone."""
+    pieces = pieces_of(path)
     if not pieces.usable:
         return packed_ids(path, chunks)
-    texts = [c.decode("utf-8", "replace") for c in chunks]
-    cut = [pieces.cut(t) for t in texts]
-    known = fill(memo("piece", path, rows=PIECE_ROWS), [row for row in cut if row is not None], lambda p: joined_ids(path, pieces, p))
-    alone = [row is None and (MARK in t or pieces.special(t) is not None) for t, row in zip(texts, cut, strict=True)]
-    others = iter(marked_ids(path, pieces, [t for t, row, x in zip(texts, cut, alone, strict=True) if row is None and not x]))
+    alone = [MARK.encode() in c or pieces.special.search(c) is not None for c in chunks]
+    others = iter(marked_ids(path, pieces, [c.decode("utf-8", "replace") for c, x in zip(chunks, alone, strict=True) if not x]))
     single = iter(packed_ids(path, [c for c, x in zip(chunks, alone, strict=True) if x]))
-    return [b"".join(map(known.__getitem__, row)) if row is not None else next(single if x else others) for row, x in zip(cut, alone, strict=True)]
+    return [next(single if x else others) for x in alone]
+
+
+def piece_ids(path: str, pieces: Pieces, parts: list[bytes]) -> list[bytes]:
+    """Packed ids of each part that ``cut_texts`` gives: a pre-token or a whole word."""
+    cut = [PLAIN(p) is not None and pieces.special.search(p) is None for p in parts]
+    small = iter(joined_ids(path, pieces, [p for p, x in zip(parts, cut, strict=True) if x]))
+    whole = iter(chunk_ids(path, [p for p, x in zip(parts, cut, strict=True) if not x]))
+    return [next(small if x else whole) for x in cut]
+
+
+def cut_ids(path: str, pieces: Pieces, texts: list[bytes]) -> list[bytes]:
+    """Packed ids of each text: all cut together; only distinct pre-tokens are looked up and, where not known, encoded."""
+    parts, first = cut_texts(texts, pieces.special)
+    coded = parts.dictionary_encode()
+    packed = looked_up(memo("piece", path, rows=PIECE_ROWS), coded.dictionary.to_pylist(), lambda p: piece_ids(path, pieces, p))
+    size = np.array([len(x) // 4 for x in packed], np.int64)
+    which = coded.indices.to_numpy()
+    n = size[which]
+    end = np.cumsum(n)
+    place = np.repeat((np.cumsum(size) - size)[which] - (end - n), n)
+    place += np.arange(len(place))
+    data = np.frombuffer(b"".join(packed), "<u4")[place].tobytes()
+    bounds = (4 * np.append(0, end)[first]).tolist()
+    return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def word_ids(path: str, texts: list[bytes]) -> list[bytes]:
-    """Packed ids of each text, for a vocabulary that drops white space (every ASCII space is a split)."""
-    rows = [t.split() for t in texts]
-    known = fill(memo("word", path), rows, lambda c: chunk_ids(path, c))
-    return [b"".join(map(known.__getitem__, row)) for row in rows]
+    """Packed ids of each text, for a vocabulary that drops white space (every ASCII space is a split).
+
+    Long texts are cut block by block, so that memory beside the ids is bounded by the block and its last word.
+    """
+    pieces = pieces_of(path)
+    if not pieces.usable:
+        rows = [t.split() for t in texts]
+        known = fill(memo("word", path), rows, lambda c: chunk_ids(path, c))
+        return [b"".join(map(known.__getitem__, row)) for row in rows]
+    if any(len(t) > LONG for t in texts):
+        return [b"".join(cut_ids(path, pieces, [x])[0] for x in BLOCKS(t)) for t in texts]
+    return cut_ids(path, pieces, texts)
 
 
 def byte_ids(path: str, texts: list[bytes], special: tuple[bytes, ...]) -> list[bytes]:
